@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, heavy_keys
 
 SALTS = 64
+#: Characters of a text that a splitter holds; ties are split by hash.
+BEGIN = 32
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -41,10 +43,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(best("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
         .select(F.sha2("_norm", 256).alias("text_sha256"), "_keep", "_size")
     )
-    # ranges of (text, salt) are what both windows need, so the sampled range exchange is the only one
-    run = Window.partitionBy("_norm", "_salt")
+    # splitters are sampled from a text's beginning and hash, not whole texts, as the driver holds the sample; the ranges
+    # keep what both windows need together, so this exchange is the only one
+    run = Window.partitionBy("_begin", "_hash", "_norm", "_salt")
     runs = (
-        salted.repartitionByRange("_norm", "_salt")
+        salted.withColumns({"_begin": F.substring("_norm", 1, BEGIN), "_hash": F.xxhash64("_norm")})
+        .repartitionByRange("_begin", "_hash", "_salt")
         .withColumn("_rank", F.row_number().over(run.orderBy(order)))
         .withColumn("_run_keep", best("doc_id").over(run))
         .withColumn("_run_size", F.count(F.lit(1)).over(run))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, packing, token_store, url_templates
+from tessella.llm import exact_dedup, language, mixing, packing, quality, simhash, token_store, topk, url_templates, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -14,10 +14,38 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.audit(spark, path)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantized(read(spark, sf_dir, "embeddings"), 1024)
+    return topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(read(spark, sf_dir, "pages"))
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive the pages, read the archive back and audit it against a second replica, in which records whose url's
+    SHA-256 starts with 00 are damaged (every e of their page is an f)."""
+    pages = read(spark, sf_dir, "pages")
+    archive = warc.read(spark, warc.write(pages, shared_dir(spark)))
+    html = F.when(F.sha2("url", 256).startswith("00"), F.translate("html", "e", "f")).otherwise(F.col("html"))
+    record = warc.rendered(F.col("page_id"), F.col("url"), html)
+    replica = pages.select("page_id", F.octet_length(record).alias("length"), F.sha2(record, 256).alias("sha256"))
+    return warc.audit(archive.select("page_id", "length", "sha256"), replica)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"), words=4)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), end_id=1)
 
@@ -26,11 +54,51 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
 
-QUERIES = {"op1_token_store": op1_token_store, "op3_url_templates": op3_url_templates, "op8_packing": op8_packing, "op9_exact_dedup": op9_exact_dedup}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), repetition=MOST_EPOCHS)
+
+
+#: Epochs of any source at most, in the mixing query and the pipeline.
+MOST_EPOCHS = 1.5
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_store, op2_topk, op3_url_templates, op4_warc_audit, op5_quality, op6_simhash, op7_language, op8_packing, op9_exact_dedup, op10_mixing
+)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op2_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op4_warc_audit": r"""
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, starts_with(sha256(url), '00') AND contains(html, 'e') AS damaged FROM pages),
+             r AS (SELECT page_id, page_id // 512 AS segment, damaged, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
+                          || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+                          || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html AS record FROM p),
+             l AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY page_id) - 1 AS ordinal, octet_length(encode(record)) AS record_length, sha256(record) AS record_sha256 FROM r),
+             n1 AS (SELECT segment, ordinal // 8 AS node, sha256(string_agg(record_sha256, '' ORDER BY ordinal)) AS h FROM l GROUP BY ALL),
+             n2 AS (SELECT segment, node // 8 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM (SELECT segment, node, h FROM n1) GROUP BY segment, node // 8),
+             n3 AS (SELECT segment, sha256(string_agg(h, '' ORDER BY node)) AS segment_root FROM n2 GROUP BY segment)
+        SELECT segment, ordinal, page_id, coalesce(sum(record_length + 4) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+               record_length, record_sha256, CASE WHEN damaged THEN 'corrupt' ELSE 'intact' END AS status, segment_root
+        FROM l JOIN n3 USING (segment)""",
+    "op10_mixing": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+', 0))::BIGINT AS tokens FROM documents),
+             s AS (SELECT source, sum(tokens)::BIGINT AS n, ceil(count(*) / 1024)::BIGINT AS blocks FROM d GROUP BY source),
+             a AS (SELECT greatest(0, 1 - ln(1.5) / nullif(ln(max(n) / min(n)), 0)) AS alpha, max(n) AS largest FROM s WHERE n > 0),
+             w AS (SELECT source, n, blocks, CASE WHEN n > 0 THEN pow(n / largest, coalesce(alpha, 0)) ELSE 0 END AS raw, CASE WHEN n > 0 THEN round(pow(largest / n, 1 - coalesce(alpha, 0)), 9) ELSE 1 END AS epochs FROM s, a),
+             p AS (SELECT source, blocks, epochs, raw / sum(raw) OVER () AS weight FROM w),
+             e AS (SELECT doc_id, source, tokens, weight, epochs, ('0x' || substr(sha256('mix-1:' || doc_id), 1, 12))::BIGINT % blocks AS block, unnest(range(ceil(epochs)::BIGINT))::INTEGER AS epoch
+                   FROM d JOIN p USING (source)),
+             k AS (SELECT *, (row_number() OVER o)::INTEGER AS position, coalesce(sum(tokens) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                          sum(tokens) OVER (PARTITION BY source, block, epoch) AS all_tokens, least(1.0, epochs - epoch) AS share
+                   FROM e WINDOW o AS (PARTITION BY source, block, epoch ORDER BY sha256('mix-1:' || doc_id || ':' || epoch), doc_id))
+        SELECT doc_id, source, epoch, block, position, tokens, round(weight, 9) AS weight FROM k WHERE share >= 1.0 OR before + tokens / 2 <= share * all_tokens""",
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256

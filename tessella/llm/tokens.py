@@ -1,36 +1,32 @@
 """Whole-text encoding inside tasks.
 
-Byte-level BPE never joins bytes across a single blank between two visible characters, so a text's ids are the ids of
-its blank-separated pieces, one after another. Arrow splits a slice of texts and numbers its distinct pieces; each
-Python worker keeps the ids of the pieces it has met, asks the tokenizer only for new ones and gathers with numpy.
+Byte-level BPE cuts a text by a pattern and encodes the pieces one by one, so a text's ids are its pieces' ids, one after
+another. Arrow cuts a slice of texts as the tokenizer's own pattern does and numbers the distinct pieces; each Python
+worker keeps the ids of the pieces it has met, asks the tokenizer only for new ones, and numpy gathers whole slices.
+Texts for which the two patterns might differ (runs of white space, rare scripts, special tokens) go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; when full, its memory starts anew.
-MEMORY = 600_000
+#: Pieces of the younger and of the older generation that a worker remembers; older ones that aren't met again are dropped.
+MEMORY = 300_000
 #: Characters of text that are encoded at once.
-SLICE_CHARS = 16 << 20
+SLICE_CHARS = 10 << 20
+#: New pieces that are given to the tokenizer as one line each of one string.
+LINES = 64
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space next to a blank; texts that hold none of these (and no wide white space) are cut at every blank.
-_ODD = [x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f" for x in (f" {c}", f"{c} ")] + ["  "]
-_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\u180e\ufeff]")
-
-
-def _plain(text: str) -> bool:
-    """Whether every blank of the text stands between two visible characters."""
-    if text[:1] == " " or text[-1:] == " " or any(x in text for x in _ODD):
-        return False
-    return text.isascii() or not _WIDE.search(text)
+#: Texts with two white-space characters in a row, other white space than blanks, tabs and line ends, a NUL, or letters
+#: beyond Latin, Greek and Cyrillic.
+_ODD = r"[ \t\n\r]{2}|[\x00\x0b\x0c\x1c-\x1f\x{85}\x{a0}]|[^\x00-\x{052f}\x{2010}-\x{2027}\x{20ac}]"
+#: The byte-level pattern where white space stands alone.
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 
 class Encoder:
@@ -40,75 +36,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int32)
-        self.used = self.count = 0
-
-    def learn(self, pieces: list[str]) -> None:
-        """Number new pieces and append their ids to the pool."""
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(sizes.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-            while self.count + len(part) > len(self.start):
-                self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                self.size = np.concatenate([self.size, np.zeros_like(self.size)])
-            at = slice(self.count, self.count + len(part))
-            self.size[at] = sizes
-            self.start[at] = self.used + np.cumsum(sizes) - sizes
-            self.ids[self.used : self.used + total] = np.fromiter((x for ids in found for x in ids), np.uint32, total)
-            self.codes.update(zip(part, range(self.count, self.count + len(part)), strict=True))
-            self.used += total
-            self.count += len(part)
-
-    def numbered(self, pieces: list[str]) -> np.ndarray:
-        known = self.codes
-        fresh = [p for p in pieces if p not in known]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces, as bytes."""
+        # a piece is white space or has none but a blank before it; the latter go as lines, whose ends' id stands between two
+        lines = [p for p in pieces if p and not p.isspace()]
+        out = {"": b""}
+        for i in range(0, len(lines), LINES * 64):
+            part = lines[i : i + LINES * 64]
+            texts = ["\n".join(part[j : j + LINES]) for j in range(0, len(part), LINES)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat = np.array([x for ids in found for x in (*ids, self.newline)], np.uint32)
+            stops = np.flatnonzero(flat == self.newline)
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer joins lines")
+            data, last = flat.tobytes(), 0
+            for piece, stop in zip(part, (4 * stops).tolist(), strict=True):
+                out[piece] = data[last:stop]
+                last = stop + 4
+        for p in pieces:
+            if p.isspace():
+                out[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
+        return out
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces, as bytes."""
+        young, old = self.young, self.old
+        missing = [p for p in pieces if p not in young]
+        young.update((p, old[p]) for p in missing if p in old)
+        fresh = [p for p in missing if p not in young]
         if fresh:
-            self.learn(fresh)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            young.update(self.learn(fresh))
+        out = [young[p] for p in pieces]
+        if len(young) > MEMORY:
+            self.old, self.young = young, {}
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.count > MEMORY:
-            self.clear()
-        plain = [_plain(t) for t in texts]
-        rows: list[list[str] | None] = [None if ok else _CUT.split(t) for t, ok in zip(texts, plain, strict=True)]
-        flat = pc.split_pattern(pa.array([t for t, ok in zip(texts, plain, strict=True) if ok], pa.large_string()), " ")
-        counts = np.array([len(r) if r else 0 for r in rows], np.int64)
-        whole = np.flatnonzero(plain)
-        if len(whole):
-            bounds = np.asarray(flat.offsets).astype(np.int64)
-            counts[whole] = np.diff(bounds)
-        words = flat.flatten().dictionary_encode()
-        index = np.asarray(words.indices).astype(np.int64)
-        values = words.dictionary.to_pylist()
-        ends = np.cumsum(counts)
-        code = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-        heads = np.zeros(len(code), bool)
-        heads[(ends - counts)[counts > 0]] = True
-        own = np.repeat(np.array(plain, bool), counts)
-        # a piece that is not a text's first carries its blank
-        spaced = self.numbered([" " + v for v in values])
-        code[own] = spaced[index]
-        firsts = np.flatnonzero(heads & own)
-        where = np.flatnonzero(own)
-        head_index = index[np.searchsorted(where, firsts)]
-        code[firsts] = self.numbered([values[i] for i in head_index])
-        if not all(plain):
-            code[~own] = self.numbered([("" if i == 0 else " ") + p for r in rows if r for i, p in enumerate(r)])
-        sizes = self.size[code].astype(np.int64)
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.ids[np.repeat(self.start[code] - (stops - sizes), sizes) + np.arange(total)]
-        return ids, np.concatenate([[0], stops])[np.concatenate([[0], ends])]
+        rows = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(rows, _ODD)
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(rows, s))
+        odd = np.asarray(odd.to_numpy(zero_copy_only=False), bool)
+        lists = pc.split_pattern(pc.replace_substring_regex(rows.filter(pa.array(~odd)), _PIECES, "\\0\0"), "\0")
+        words = lists.flatten().dictionary_encode()
+        index, pieces = np.asarray(words.indices).astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        counts = np.ones(len(texts), np.int64)
+        counts[~odd] = np.diff(np.asarray(lists.offsets).astype(np.int64))
+        del lists, words
+        pool = self.known(pieces)
+        # an odd text is one piece of its own
+        whole = [t for t, x in zip(texts, odd, strict=True) if x]
+        pool += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        code = np.empty(int(counts.sum()), np.int64)
+        own = np.repeat(~odd, counts)
+        code[own] = index
+        code[~own] = len(pieces) + np.arange(len(whole))
+        size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
+        sizes = size[code]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        ids = _gather(np.frombuffer(b"".join(pool), np.uint32), (np.cumsum(size) - size)[code], sizes)
+        return ids, stops[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[start : start + size] of all, one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 @functools.lru_cache(maxsize=2)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tessella.plans import corpus, relational
+
+QUERIES: dict = {**corpus.QUERIES, **relational.QUERIES}
+SQL: dict = {**corpus.SQL, **relational.SQL}

@@ -163,7 +163,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     """Encode whole texts of docs (doc_id, text), append end_id and pack; every token bears loss.
 
     One row per piece: doc_id, start, length, ids_crc32 (of the piece's ids as little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset, padded_length of its sequence. A null text counts as empty; a null doc_id is packed like any
+    sequence_id, offset. A null text counts as empty; a null doc_id is packed like any
     other. An empty table gives no rows.
     """
     path = tokenizer or default_path()
@@ -188,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for batch in batches:
-            for own, flat, at in encoded(batch.column(0).to_pylist(), batch.column(1).to_pylist(), path):
+            for own, flat, at in encoded(batch.column(0), batch.column(1), path):
                 for k, doc in enumerate(own):
                     ids = np.append(flat[at[k] : at[k + 1]], np.uint32(end_id)).astype("<u4")
                     live[count] = (doc, ids, len(ids))
@@ -198,4 +198,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
         packer.fill(0)
         yield placed()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

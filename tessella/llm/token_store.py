@@ -13,6 +13,7 @@ equal chunks wherever they stand. A task writes a chunk once; copies from differ
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -27,47 +28,49 @@ from tessella.llm.tokens import default_path, encoded
 WINDOW = 16
 MIN_IDS, MASK_BITS, MAX_IDS = 256, 10, 8192
 #: Digests that a task remembers as written; beyond it the oldest half is forgotten and a later copy is dropped by the shuffle.
-REMEMBERED = 200_000
-
-_GEAR = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-
-
-def cuts(ids: np.ndarray, minimum: int = MIN_IDS, bits: int = MASK_BITS, maximum: int = MAX_IDS) -> list[int]:
-    """Ends of the chunks of one stream: content-defined, at least minimum (but for the last) and at most maximum ids."""
-    n = len(ids)
-    if n <= minimum:
-        return [n] if n else []
-    gear = _GEAR[ids & np.uint32(0xFFFF)]
-    rolling = gear.copy()
-    for k in range(1, WINDOW):
-        rolling[k:] += gear[:-k] << np.uint64(k)
-    # the high bits of a shifted sum depend on the whole window
-    marks = np.flatnonzero((rolling >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1
-    out, last, i = [], 0, 0
-    while n - last > minimum:
-        i = int(np.searchsorted(marks, last + minimum, "left"))
-        end = min(int(marks[i]) if i < len(marks) else n, last + maximum, n)
-        out.append(end)
-        last = end
-    if last < n:
-        out.append(n)
+REMEMBERED = 50_000
+
+_GEAR = np.random.default_rng(20).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)
+
+
+def marks(ids: np.ndarray, bits: int = MASK_BITS) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids has its high bits zero; the window doubles four times."""
+    rolling, width = _GEAR[ids & np.uint32(0xFFFF)], 1
+    while width < WINDOW:
+        grown = rolling.copy()
+        grown[width:] += rolling[:-width] << np.uint32(width)
+        rolling, width = grown, 2 * width
+    return np.flatnonzero(rolling < np.uint32(1 << 32 - bits)) + 1
+
+
+def cuts(places: list[int], first: int, last: int, minimum: int = MIN_IDS, maximum: int = MAX_IDS) -> list[int]:
+    """Ends of the chunks of the stream [first, last): at the marks' places, at least minimum (but for the last) and at
+    most maximum ids. A chunk is longer than the window, so what stands before a stream doesn't move its cuts."""
+    out, at = [], first
+    while last - at > minimum:
+        i = bisect.bisect_left(places, at + minimum)
+        at = min(places[i] if i < len(places) else last, at + maximum, last)
+        out.append(at)
+    if at < last:
+        out.append(last)
     return out
 
 
 def _chunked(path: str, end_id: int, wide: bool):
-    kind = "<u4" if wide else "<u2"
+    kind, width = ("<u4", 4) if wide else ("<u2", 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, None] = {}
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for own, flat, at in encoded(ids, texts, path):
+            for own, flat, at in encoded(batch.column(0), batch.column(1), path):
+                stream = np.insert(flat, at[1:], np.uint32(end_id))
+                bounds = (at + np.arange(len(at))).tolist()
+                places, data = marks(stream).tolist(), stream.astype(kind).tobytes()
                 rows: list[tuple] = []
                 for k, doc in enumerate(own):
-                    stream = np.append(flat[at[k] : at[k + 1]], np.uint32(end_id))
-                    last = 0
-                    for seq, end in enumerate(cuts(stream)):
-                        blob = stream[last:end].astype(kind).tobytes()
+                    last = bounds[k]
+                    for seq, end in enumerate(cuts(places, last, bounds[k + 1])):
+                        blob = data[width * last : width * end]
                         digest = hashlib.sha256(blob).digest()
                         rows.append(("recipe", doc, seq, digest, end - last, None))
                         if digest not in seen:
@@ -77,8 +80,11 @@ def _chunked(path: str, end_id: int, wide: bool):
                             seen[digest] = None
                             rows.append(("pack", None, None, digest, end - last, blob))
                         last = end
-                for i in range(0, len(rows), 4096):
-                    yield _batch(rows[i : i + 4096])
+                    if len(rows) >= 1024:
+                        yield _batch(rows)
+                        rows = []
+                if rows:
+                    yield _batch(rows)
 
     return run
 
@@ -101,11 +107,12 @@ def merkle(digests: list[bytes]) -> bytes:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, wide: bool = False) -> str:
     """Encode whole texts of docs (doc_id, text), append end_id to each and write the store at path; returns path.
 
-    A null text counts as empty (its stream is end_id alone); doc_id must be unique and not null: rows without it are
-    refused. An empty table writes an empty store. wide: 32-bit ids, for vocabularies over 65,536.
+    A null text counts as empty (its stream is end_id alone). Rows without doc_id are left out; doc_id must be unique, but
+    rows that repeat both id and text count once. An empty table writes an empty store. wide: 32-bit ids, for
+    vocabularies over 65,536.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunked(tokenizer or default_path(), end_id, wide), "kind string, doc_id long, seq int, digest binary, n int, ids binary")
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer or default_path(), end_id, wide), "kind string, doc_id long, seq int, digest binary, n int, ids binary")
     # packs meet by digest; recipes are dealt by document, so a chunk that many documents share makes no large partition
     route = F.when(F.col("kind") == "pack", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "seq"))
     unique = rows.withColumn("route", route).repartition("route").dropDuplicates(["route", "kind", "digest", "doc_id", "seq"]).drop("route")

@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces of the younger and of the older generation that a worker remembers; older ones that aren't met again are dropped.
-MEMORY = 300_000
-#: Characters of text that are encoded at once.
-SLICE_CHARS = 10 << 20
+MEMORY = 150_000
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 5 << 20
 #: New pieces that are given to the tokenizer as one line each of one string.
 LINES = 64
 
@@ -76,8 +76,8 @@ class Encoder:
             self.old, self.young = young, {}
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = pa.array(texts, pa.large_string())
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = texts.cast(pa.large_string())
         odd = pc.match_substring_regex(rows, _ODD)
         for s in self.special:
             odd = pc.or_(odd, pc.match_substring(rows, s))
@@ -85,12 +85,12 @@ class Encoder:
         lists = pc.split_pattern(pc.replace_substring_regex(rows.filter(pa.array(~odd)), _PIECES, "\\0\0"), "\0")
         words = lists.flatten().dictionary_encode()
         index, pieces = np.asarray(words.indices).astype(np.int64), words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        counts = np.ones(len(texts), np.int64)
+        counts = np.ones(len(rows), np.int64)
         counts[~odd] = np.diff(np.asarray(lists.offsets).astype(np.int64))
         del lists, words
         pool = self.known(pieces)
         # an odd text is one piece of its own
-        whole = [t for t, x in zip(texts, odd, strict=True) if x]
+        whole = rows.filter(pa.array(odd)).to_pylist()
         pool += [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         code = np.empty(int(counts.sum()), np.int64)
         own = np.repeat(~odd, counts)
@@ -106,8 +106,9 @@ class Encoder:
 def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """pool[start : start + size] of all, one after another."""
     ends = np.cumsum(size)
-    at = np.repeat(start - (ends - size), size)
-    at += np.arange(len(at))
+    kind = np.int32 if len(pool) + (ends[-1] if len(ends) else 0) < 1 << 31 else np.int64
+    at = np.repeat((start - (ends - size)).astype(kind), size)
+    at += np.arange(len(at), dtype=kind)
     return pool[at]
 
 
@@ -116,18 +117,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encoded(ids: list, texts: list[str | None], path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """Slices of about SLICE_CHARS: the documents' own ids, all token ids, and offsets (one more than documents)."""
+def encoded(ids: pa.Array, texts: pa.Array, path: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Slices of about SLICE_BYTES: the documents' own ids, all token ids, and offsets (one more than documents). Null texts count as empty."""
     enc = encoder(path)
-    i = 0
+    texts = texts.fill_null("")
+    ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+    i, done = 0, 0
     while i < len(texts):
-        j, size = i, 0
-        while j < len(texts) and (j == i or size < SLICE_CHARS):
-            size += len(texts[j] or "")
-            j += 1
-        flat, at = enc.encode([t or "" for t in texts[i:j]])
-        yield ids[i:j], flat, at
-        i = j
+        j = max(i + 1, int(np.searchsorted(ends, done + SLICE_BYTES)))
+        flat, at = enc.encode(texts.slice(i, j - i))
+        yield ids.slice(i, j - i).to_pylist(), flat, at
+        i, done = j, int(ends[j - 1])
 
 
 def default_path() -> str:

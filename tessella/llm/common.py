@@ -68,3 +68,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, spr
     a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     b = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return a.join(b, [key, "_salt"], "left").drop("_salt")
+
+
+def below(df: DataFrame, salt: int, rows: int) -> DataFrame:
+    """About twice `rows` of df (with _hash, of doc_id and salt), those with the smallest hashes; all if there are few.
+
+    Tasks so send the driver what a sample of `rows` needs and not `rows` each.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64("doc_id", F.lit(salt)))
+    total = df.count()
+    if total <= 4 * rows:
+        return hashed
+    return hashed.filter(F.col("_hash") < int(-(1 << 63) + (1 << 64) * (2 * rows / total)))

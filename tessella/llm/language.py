@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import below
+
 WINDOW = 64
 HIDDEN = 8
 #: Labelled rows that training takes (those with the smallest hash of doc_id), and windows of each.
@@ -140,8 +142,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, each: int = SAMPLE_WINDOWS)
     Rows without text or lang are left out. The sample is that of the smallest hashes of doc_id, so it is the same in
     any partitioning; windows lie at hashed places of the whole text.
     """
-    known = docs.filter("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
-    picked = known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").select("doc_id", "lang", *_places(each)).limit(rows).collect()
+    near = below(docs.filter("lang is not null").select("doc_id", "lang"), 3, rows)
+    limit = near.agg(F.max("_hash")).first()[0]
+    known = docs.filter("lang is not null and length(text) > 0").withColumn("_hash", F.xxhash64("doc_id", F.lit(3)))
+    known = known.filter(F.col("_hash") <= limit) if limit is not None else known
+    picked = known.select("_hash", "doc_id", "lang", *_places(each)).orderBy("_hash", "doc_id").limit(rows).collect()
     names = sorted({r["lang"] for r in picked})
     if not names:
         return BiGRU(1), []

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import below, materialize
 from tessella.llm.language import held_out
 
 #: Labelled rows that are fitted at most: those with the smallest hash of doc_id.
@@ -150,7 +150,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> D
     rows = materialize(features(docs))
     out = held_out(2, 4)
     taught = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter(~out)
-    picked = rows.join(taught, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample).select("x", "quality").collect()
+    picked = rows.join(below(taught, 5, sample), "doc_id").orderBy("_hash", "doc_id").limit(sample).select("x", "quality").collect()
     x = np.array([r["x"] for r in picked], np.float32).reshape(-1, len(NAMES))
     forest = fit(x, np.array([r["quality"] for r in picked], float))
 

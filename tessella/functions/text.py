@@ -22,7 +22,10 @@ def casefold(text: Column) -> Column:
 
 def lexical_normalize(text: Column) -> Column:
     """Typographic hyphens as "-", case folded, ё as е. Compatibility forms are expected to be normalised on ingestion."""
-    return F.translate(casefold(F.translate(text, HYPHENS, "---")), "ё", "е")
+    out = casefold(text)
+    for sign, plain in (*((h, "-") for h in HYPHENS), ("ё", "е")):  # replace() is a byte search where translate() looks up every character
+        out = F.replace(out, F.lit(sign), F.lit(plain))
+    return out
 
 
 def tokens(text: Column) -> Column:

@@ -37,7 +37,8 @@ def scored(docs: DataFrame, terms: list[str], keep: Column | None = None, text_c
     row that the driver reads.
     """
     terms = list(dict.fromkeys(terms))
-    words = docs.withColumn("_words", tokens(F.col(text_col)))
+    # a generator of one row, as an optimizer that merges projections would cut every text once a term
+    words = docs.select("*", F.explode(F.array(tokens(F.col(text_col)))).alias("_words"))
     counts = {f"_tf{i}": _occurrences("_words", t) for i, t in enumerate(terms)}
     rows = words.withColumns({"_length": F.size("_words"), **counts}).drop("_words")
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_length").alias("total"), *(F.count_if(F.col(c) > 0).alias(c) for c in counts)).first()

@@ -94,3 +94,30 @@ def column_letters(number: Column) -> Column:
     """Letters of column numbers up to 702."""
     first, second = F.floor((number - 1) / 26), F.pmod(number - 1, F.lit(26))
     return F.concat(F.when(first > 0, F.char(64 + first)).otherwise(""), F.char(65 + second))
+
+
+def compact_tokens(text: Column) -> Column:
+    """Words of under three characters or with an underscore or slash."""
+    return F.filter(tokens(text), lambda t: (F.length(t) < 3) | F.contains(t, F.lit("_")) | F.contains(t, F.lit("/")))
+
+
+def reading_terms(text: Column) -> Column:
+    """Words; a hyphenated compound of letters is followed by its parts, codes and numbers stay whole."""
+    parts = lambda t: F.when(t.rlike("^[a-zа-яёı]+(-[a-zа-яёı]+)+$"), F.concat(F.array(t), F.split(t, "-"))).otherwise(F.array(t))
+    return F.flatten(F.transform(tokens(text), parts))
+
+
+def visible_document(name: Column) -> Column:
+    """Not an editor's lock or a system's shadow file."""
+    return ~name.rlike(r"^(~\$|\.~lock\.|\._)")
+
+
+def verdict(answer: Column, source: Column) -> Column:
+    """NO_DATA without a text; VERIFIED if the source holds the answer, or holds its numbers and 0.35 of its distinct words;
+    else HALLUCINATION."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+    numbers = lambda c: F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))
+    share = F.size(F.array_intersect(words(answer), words(source))) / F.nullif(F.size(words(answer)), F.lit(0))
+    foreign = F.size(F.array_except(numbers(answer), numbers(source))) > 0
+    out = F.when(F.coalesce(answer == "", F.lit(True)) | F.coalesce(source == "", F.lit(True)), "NO_DATA").when(F.contains(source, answer), "VERIFIED")
+    return out.when(foreign, "HALLUCINATION").when(share >= 0.35, "VERIFIED").otherwise("HALLUCINATION")

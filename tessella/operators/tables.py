@@ -19,7 +19,7 @@ def unique_headers(headers: DataFrame) -> DataFrame:
 
 def exact_number(value: Column) -> Column:
     """A decimal from text with blanks, no-break blanks and a comma; null where it is none."""
-    return F.regexp_replace(F.translate(value.cast("string"), "  ,", "."), r"^,", "").try_cast(EXACT) if False else F.translate(F.regexp_replace(value.cast("string"), "[  ]", ""), ",", ".").try_cast(EXACT)
+    return F.translate(F.regexp_replace(value.cast("string"), "[  ]", ""), ",", ".").try_cast(EXACT)
 
 
 def exact_sum(rows: DataFrame, value: Column, *keys: str) -> DataFrame:
@@ -69,3 +69,16 @@ def cell_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Sums of cells (r, c, value) within ranges (name, r1, r2, c1, c2), exact; ranges are a user's few and are broadcast."""
     inside = (F.col("r").between(F.col("r1"), F.col("r2"))) & (F.col("c").between(F.col("c1"), F.col("c2")))
     return cells.join(F.broadcast(ranges), inside).groupBy("name").agg(F.sum(F.col("value").cast(EXACT)).alias("total"), F.count("value").alias("cells"))
+
+
+def mapped(label: Column, rules: list[tuple[str, str]]) -> Column:
+    """The field of the first rule (field, hint) whose hint the lower-case label holds, or null."""
+    return F.coalesce(*(F.when(F.contains(F.lower(label), F.lit(hint)), field) for field, hint in rules))
+
+
+def kind(text: Column, hints: dict[str, list[str]]) -> Column:
+    """The kind with the most hints in text, of equals the first; null without any."""
+    low = F.lower(text)
+    count = {name: sum((F.contains(low, F.lit(h)).cast("int") for h in words), F.lit(0)) for name, words in hints.items()}
+    most = F.greatest(*count.values())
+    return F.coalesce(*(F.when((c == most) & (most > 0), name) for name, c in count.items()))

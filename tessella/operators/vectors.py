@@ -37,3 +37,42 @@ def neighbour_groups(vectors: DataFrame, query: list[float], group: str, groups:
 def query_vector(vectors: DataFrame, vec_id: int) -> list[float]:
     row = vectors.filter(F.col("vec_id") == vec_id).select("embedding").first()
     return [float(x) for x in row[0]] if row else []
+
+
+def maxsim(column: Column, query: list[float], rows: int) -> Column:
+    """Late interaction of flat vectors of rows parts: the best inner product of every part of query, summed."""
+    width = len(query) // rows
+    parts = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda j: F.transform(F.slice(column, j * width + 1, F.lit(width)), lambda x: x.cast("double")))
+    best = lambda part: F.array_max(F.transform(parts, lambda p: F.aggregate(F.zip_with(p, part, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    total = F.lit(0.0)
+    for i in range(rows):
+        total = total + best(F.array(*(F.lit(float(x)) for x in query[i * width : (i + 1) * width])))
+    return total
+
+
+def payload_filter(must: list[Column] = (), must_not: list[Column] = (), should: list[Column] = ()) -> Column:
+    """All of must, none of must_not and, if there are any, one of should; an unknown condition counts as not met."""
+    met = lambda c: F.coalesce(c, F.lit(False))
+    out = F.lit(True)
+    for c in must:
+        out = out & met(c)
+    for c in must_not:
+        out = out & ~met(c)
+    if should:
+        one = F.lit(False)
+        for c in should:
+            one = one | met(c)
+        out = out & one
+    return out
+
+
+def scroll(points: DataFrame, cursor: int | None, limit: int, keep: Column | None = None, id_col: str = "vec_id") -> DataFrame:
+    """The next limit rows after the id cursor."""
+    rows = points if keep is None else points.filter(keep)
+    return (rows if cursor is None else rows.filter(F.col(id_col) > cursor)).orderBy(id_col).limit(limit)
+
+
+def reuse(texts: DataFrame, cached: DataFrame) -> DataFrame:
+    """texts (doc_id, key) with reused_from: the smallest id of cached (doc_id, key) that has the key, or null."""
+    owners = cached.groupBy("key").agg(F.min("doc_id").alias("reused_from"))
+    return texts.join(owners, "key", "left")

@@ -7,24 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import fusion, lexical, vectors
+from tessella.plans.base import query, table
 
 TERMS = ["the", "of", "our"]
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from tessella.plans import corpus, relational
-
-QUERIES: dict = {**corpus.QUERIES, **relational.QUERIES}
-SQL: dict = {**corpus.SQL, **relational.SQL}
+from tessella.plans import catalog, corpus, relational, retrieval  # noqa: F401
+from tessella.plans.base import QUERIES, SQL  # noqa: F401

@@ -7,20 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import tables as T
-from tessella.plans.corpus import table
-
-QUERIES: dict = {}
-SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from tessella.plans.base import query, table
 
 
 @query("""SELECT l_returnflag, sum(l_extendedprice::VARCHAR::DECIMAL(38,12))::VARCHAR AS exact_total, count(l_extendedprice) AS counted, count(*) - count(l_extendedprice) AS missing, count(*) = count(l_extendedprice) AS complete FROM lineitem GROUP BY l_returnflag""")

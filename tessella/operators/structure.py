@@ -41,18 +41,19 @@ def tree_levels(docs: DataFrame, fanout: int, most: int) -> DataFrame:
     return nodes.select("doc_id", "level", "node", leaves.alias("leaves"), F.substring(F.sha2(F.concat_ws(":", "doc_id", "level", "node"), 256), 1, 32).alias("node_id"))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Distinct sequences of n blank-separated words."""
-    words = F.split(text, " ")
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+def ngrams(rows: DataFrame, n: int, *keep: str) -> DataFrame:
+    """keep, gram: distinct sequences of n blank-separated words of every row's text."""
+    # a generator of one row, as a split inside the function would cut the text once a sequence
+    words = rows.select(*keep, F.explode(F.array(F.split("text", " "))).alias("_words")).filter(F.size("_words") >= n)
+    found = F.transform(F.sequence(F.lit(1), F.size("_words") - (n - 1)), lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " "))
+    return words.select(*keep, F.explode(F.array_distinct(found)).alias("gram"))
 
 
 def ngram_coverage(passages: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """item_id, grams, found, coverage: the share of a passage's sequences that some document holds."""
-    grams = passages.select("item_id", F.explode(ngrams(F.col("text"), n)).alias("gram"))
+    grams = ngrams(passages, n, "item_id")
     wanted = grams.select("gram").distinct()
-    held = docs.select(F.explode(ngrams(F.col("text"), n)).alias("gram")).join(wanted, "gram", "left_semi").distinct().withColumn("_held", F.lit(1))
+    held = ngrams(docs, n).join(wanted, "gram", "left_semi").distinct().withColumn("_held", F.lit(1))
     counted = grams.join(held, "gram", "left").groupBy("item_id").agg(F.count(F.lit(1)).alias("grams"), F.count("_held").alias("found"))
     return counted.withColumn("coverage", F.round(F.col("found") / F.col("grams"), 6))
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 #: Pieces of the younger and of the older generation that a worker remembers; older ones that aren't met again are dropped.
 MEMORY = 150_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 5 << 20
+SLICE_BYTES = 3 << 20
 #: New pieces that are given to the tokenizer as one line each of one string.
 LINES = 64
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import chunking, fusion, tables
+from tessella.operators import catalog, chunking, fusion, tables
 from tessella.streaming import events
 
 
@@ -56,3 +56,23 @@ def test_stream_equals_batch(spark):
         run = events.tumbling(stream, "1 day", "1 day").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
         run.awaitTermination(60)
         assert sorted(map(tuple, spark.table("days").collect())) == sorted(map(tuple, events.tumbling(spark.read.parquet(path), "1 day", "1 day").collect()))
+
+
+def test_sections_and_fitting_chunks_join_to_the_text():
+    text = "intro\n# One\nbody\n```\n# no heading\n```\n## Two\nend " + "word " * 300
+    parts = list(chunking.sections(text))
+    assert [h for h, _, _ in parts] == ["", "One", "Two"] and "".join(text[a:b] for _, a, b in parts) == text
+    cut = list(chunking.fitting(text, 50))
+    assert "".join(text[a:b] for a, b in cut) == text and all(len(text[a:b].split()) <= 50 for a, b in cut)
+    assert list(chunking.fitting("", 5)) == [] and len(list(chunking.fitting("x" * 1000, 5))) >= 1
+
+
+def test_watch_and_staleness(spark):
+    state = spark.createDataFrame([(1, 5, 10.0, False), (2, 5, 10.0, False)], "id long, size long, mtime double, missing boolean")
+    seen = spark.createDataFrame([(1, 5, 10.5)], "id long, size long, mtime double")
+    got = {r["id"]: (r["changed"], r["missing"]) for r in catalog.watched(state, seen, complete=False).collect()}
+    assert got == {1: (False, False), 2: (False, False)}
+    assert catalog.watched(state, seen, complete=True).filter("missing").first()["id"] == 2
+    units = spark.createDataFrame([(1, True), (2, False), (3, False), (4, False)], "id long, changed boolean")
+    links = spark.createDataFrame([(2, 1), (3, 2), (2, 3), (4, 4)], "id long, on long")
+    assert {r["id"] for r in catalog.stale_closure(units, links).filter("needs_recheck").collect()} == {1, 2, 3}

@@ -43,6 +43,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
+    """Let the session send whole texts to Python in batches of at most so many rows and about so many bytes: a task then holds
+    few of them outside its heap. A stage's plan runs after the stage's return, so the setting stays."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        spark.conf.set(key, str(min(now, most) if now > 0 else most))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; lower() serves texts without multi-byte characters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

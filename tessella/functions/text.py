@@ -121,3 +121,27 @@ def verdict(answer: Column, source: Column) -> Column:
     foreign = F.size(F.array_except(numbers(answer), numbers(source))) > 0
     out = F.when(F.coalesce(answer == "", F.lit(True)) | F.coalesce(source == "", F.lit(True)), "NO_DATA").when(F.contains(source, answer), "VERIFIED")
     return out.when(foreign, "HALLUCINATION").when(share >= 0.35, "VERIFIED").otherwise("HALLUCINATION")
+
+
+def addresses(text: Column) -> Column:
+    """Distinct mail addresses of a text, lower case, in order."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
+
+
+def citations(text: Column) -> Column:
+    """Distinct numbers of marks such as [2], [1-3] and [1, 4] outside code, in order; ranges in either direction."""
+    plain = F.regexp_replace(text, r"(?s)```.*?```|`[^`\n]*`", "")
+    marks = F.regexp_extract_all(plain, F.lit(r"\[(\d{1,3}(?:-\d{1,3})?(?:, ?\d{1,3}(?:-\d{1,3})?)*)\]"), F.lit(1))
+    ends = lambda p: F.transform(F.split(p, "-"), lambda n: n.cast("int"))
+    parts = F.flatten(F.transform(marks, lambda m: F.split(m, ", ?")))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(F.array_min(ends(p)), F.array_max(ends(p)))))))
+
+
+def binary_garbage(text: Column) -> Column:
+    """Two lines over 60 characters with a slash and no blank, or no Cyrillic letter and under three blanks in the first 200
+    characters if they are over 80; texts under 40 characters never are."""
+    dense = F.size(F.filter(F.split(text, "\n"), lambda x: (F.length(x) > 60) & ~F.contains(x, F.lit(" ")) & F.contains(x, F.lit("/")))) >= 2
+    head = F.replace(F.substring(text, 1, 200), F.lit("\n"), F.lit(""))
+    opaque = (F.length(head) > 80) & ~head.rlike("[\u0400-\u04ff]") & (F.regexp_count(head, F.lit(" ")) < 3)
+    return F.coalesce((F.length(text) >= 40) & (dense | opaque), F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
@@ -64,3 +64,19 @@ def first_clause(docs: DataFrame, heading: Callable[[Column], Column]) -> DataFr
     rows = rows.filter(F.size("_at") > 0)
     first, stop = F.element_at("_at", 1), F.when(F.size("_at") > 1, F.get("_at", F.lit(1))).otherwise(F.size("_lines") + 1)
     return rows.select("doc_id", F.array_join(F.slice("_lines", first, stop - first), "\n").alias("clause"))
+
+
+def heading_paths(parts: DataFrame, levels: int) -> DataFrame:
+    """doc_id, ord, path of parts (doc_id, ord, level, title): titles of the headings that a part stands under, its own last.
+
+    A heading is open until one of its own or a lower level follows, so the open one of a level is its last, if that
+    comes after the last of every lower level. Parts of a level over levels are under headings but open none.
+    """
+    so_far = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = [F.last(F.when(F.col("level") == k, F.struct("ord", "title")), ignorenulls=True).over(so_far).alias(f"_{k}") for k in range(1, levels + 1)]
+    rows = parts.select("doc_id", "ord", *opened)
+    titles = []
+    for k in range(1, levels + 1):
+        later = [F.col(f"_{k}.ord") > F.coalesce(F.col(f"_{j}.ord"), F.lit(-1)) for j in range(1, k)]
+        titles.append(F.when(F.array_min(F.array(F.lit(True), *later)), F.col(f"_{k}.title")))
+    return rows.select("doc_id", "ord", F.array_join(F.array(*titles), " > ").alias("path"))

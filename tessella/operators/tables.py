@@ -82,3 +82,35 @@ def kind(text: Column, hints: dict[str, list[str]]) -> Column:
     count = {name: sum((F.contains(low, F.lit(h)).cast("int") for h in words), F.lit(0)) for name, words in hints.items()}
     most = F.greatest(*count.values())
     return F.coalesce(*(F.when((c == most) & (most > 0), name) for name, c in count.items()))
+
+
+def contained_names(names: DataFrame, unit: str, name: str, least: int = 4) -> DataFrame:
+    """unit, name, item of distinct names: item is the shortest, then first name of the same unit that name holds, itself
+    included; only names of least characters and more are looked for.
+
+    A name holds another only if one of its stretches of least characters is the other's beginning, so names meet by unit
+    and stretch, and only then is the whole compared.
+    """
+    own = names.select(unit, name).filter(F.col(name).isNotNull()).distinct()
+    stretches = F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), lambda k: F.substring(F.col(name), k, F.lit(least)))
+    long = own.filter(F.length(name) >= least).select(unit, name, F.explode(F.array_distinct(stretches)).alias("_key"))
+    short = own.filter(F.length(name) >= least).select(unit, F.col(name).alias("item"), F.substring(name, 1, least).alias("_key"))
+    held = long.join(short, [unit, "_key"]).filter(F.contains(name, "item"))
+    best = held.groupBy(unit, name).agg(F.min(F.struct(F.length("item"), "item"))["item"].alias("item"))
+    return best.unionByName(own.filter(F.length(name) < least).withColumn("item", F.col(name)))
+
+
+def header_rows(cells: DataFrame, most: int = 20) -> DataFrame:
+    """sheet, header of cells (sheet, r, value): the first of a sheet's first most filled rows that has two or more cells, all
+    text, and a number in the filled row below it."""
+    number = F.regexp_like(F.trim("value"), F.lit(r"^[+-]?[0-9]+([.,][0-9]+)?$"))
+    rows = cells.filter(F.trim("value") != "").groupBy("sheet", "r").agg(F.count(F.lit(1)).alias("n"), F.count_if(number).alias("numbers"))
+    order = Window.partitionBy("sheet").orderBy("r")
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("below", F.lead("numbers").over(order))
+    return rows.filter((F.col("nth") <= most) & (F.col("n") >= 2) & (F.col("numbers") == 0) & (F.col("below") > 0)).groupBy("sheet").agg(F.min("r").alias("header"))
+
+
+def row_text(fields: dict[str, Column], limit: int) -> Column:
+    """A table row as "label: value" parts without nulls and blanks, in the order of fields, cut to limit characters."""
+    parts = [F.when(F.trim(v.cast("string")) != "", F.concat(F.lit(f"{k}: "), F.trim(v.cast("string")))) for k, v in fields.items()]
+    return F.substring(F.concat_ws("; ", *parts), 1, limit)

@@ -213,3 +213,50 @@ def decompose_lines(spark, d):
     work = F.when(F.col("p_size") > 25, F.array(*map(F.lit, ("supply", "mount", "test")))).otherwise(F.array(*map(F.lit, ("supply", "mount"))))
     unit = F.when(F.col("p_size") % 2 == 0, "ea").otherwise("m")
     return table(spark, d, "part").select("p_type", F.explode(work).alias("work"), unit.alias("unit"), "p_size").groupBy("p_type", "work", "unit").agg(F.sum("p_size").alias("qty"))
+
+
+_NAMES = "SELECT p_size % 5 AS unit, p_name AS name FROM part UNION SELECT p_size % 5, split_part(p_name, ' ', 2) FROM part WHERE p_size > 25"
+
+
+@query(f"""WITH n AS ({_NAMES}) SELECT a.unit, a.name, arg_min(b.name, struct_pack(l := length(b.name), s := b.name)) AS item FROM n a JOIN n b ON a.unit = b.unit AND (a.name = b.name OR (length(b.name) >= 4 AND contains(a.name, b.name))) GROUP BY a.unit, a.name""")
+def contained_names(spark, d):
+    """Part names and the shortest name of the same unit that each one holds."""
+    p = table(spark, d, "part").withColumn("unit", F.col("p_size") % 5)
+    short = p.filter("p_size > 25").select("unit", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name"))
+    return T.contained_names(p.select("unit", F.col("p_name").alias("name")).unionByName(short), "unit", "name")
+
+
+@query("""SELECT s_nationkey AS sheet, 2 AS header FROM supplier GROUP BY s_nationkey""")
+def sheet_headers(spark, d):
+    """Every nation's suppliers as a sheet: a title, a blank row, labels, then the suppliers."""
+    s = table(spark, d, "supplier")
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    body = s.select(F.col("s_nationkey").alias("sheet"), (F.row_number().over(order) + 2).alias("r"), F.explode(F.array(F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string"))).alias("value"))
+    head = s.select(F.col("s_nationkey").alias("sheet")).distinct()
+    title, blank = head.select("sheet", F.lit(0).alias("r"), F.lit("Suppliers").alias("value")), head.select("sheet", F.lit(1).alias("r"), F.lit(" ").alias("value"))
+    labels = head.select("sheet", F.lit(2).alias("r"), F.explode(F.array(F.lit("key"), F.lit("name"), F.lit("balance"))).alias("value"))
+    return T.header_rows(body.unionByName(title).unionByName(blank).unionByName(labels))
+
+
+@query("""SELECT p_partkey, substr(concat_ws('; ', 'name: ' || p_name, 'brand: ' || p_brand, CASE WHEN p_size > 10 THEN 'size: ' || p_size END, 'type: ' || p_type), 1, 60) AS chunk FROM part""")
+def row_texts(spark, d):
+    fields = {"name": F.col("p_name"), "brand": F.col("p_brand"), "size": F.when(F.col("p_size") > 10, F.col("p_size")), "type": F.col("p_type")}
+    return table(spark, d, "part").select("p_partkey", T.row_text(fields, 60).alias("chunk"))
+
+
+@query("""SELECT n_name, '# ' || n_name || chr(10) || string_agg('- ' || s_name, chr(10) ORDER BY s_name, s_suppkey) AS markdown FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name""")
+def graph_markdown(spark, d):
+    """Every nation's suppliers as a list below a heading."""
+    held = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("s_name", "s_suppkey"))), lambda x: F.concat(F.lit("- "), x["s_name"]))
+    return held.groupBy("n_name").agg(F.array_join(lines, "\n").alias("body")).select("n_name", F.concat(F.lit("# "), "n_name", F.lit("\n"), "body").alias("markdown"))
+
+
+@query("""WITH s AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS anchor, max(value) OVER (PARTITION BY user_id, event_type) AS best FROM events),
+  t AS (SELECT user_id, event_type FROM s WHERE anchor = 1 ORDER BY value DESC, event_id LIMIT 12) SELECT user_id, event_type, event_id, anchor FROM s JOIN t USING (user_id, event_type) WHERE anchor <= 2""")
+def merged_anchors(spark, d):
+    """Of the twelve groups with the best hits the two best hits each: groups are ranked after one aggregation."""
+    order = Window.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")
+    hits = table(spark, d, "events").select("user_id", "event_type", "event_id", "value").withColumn("anchor", F.row_number().over(order)).filter("anchor <= 2")
+    leaders = hits.filter("anchor = 1").orderBy(F.desc("value"), "event_id").limit(12).select("user_id", "event_type")
+    return hits.join(F.broadcast(leaders), ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "anchor")

@@ -43,6 +43,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs, written once with a unique number of each row as _row_key: rows that repeat an id stay apart in later joins."""
+    return materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+
+
 def small_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
     """Let the session send whole texts to Python in batches of at most so many rows and about so many bytes: a task then holds
     few of them outside its heap. A stage's plan runs after the stage's return, so the setting stays."""

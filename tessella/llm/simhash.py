@@ -27,22 +27,30 @@ BLOCK = 1024
 _SHIFTS = tuple(64 - sum(SEGMENTS[: i + 1]) for i in range(5))
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """SimHash of a text's word shingles (A-Z lower-cased, repeats count); without words 0."""
+def hashes(text: str | None, words: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles (A-Z lower-cased) in order; a text of fewer words is one, a blank one has none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     stops = ends[words - 1 :].tolist() or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    n, counts = len(stops), np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 15):
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[i : i + (1 << 15)], stops[i : i + (1 << 15)])]
-        h = np.fromiter(part, ">u8", len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(stops))
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 15):
+        counts += np.unpackbits(found[i : i + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(found)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """SimHash of a text's word shingles (A-Z lower-cased, repeats count); without words 0."""
+    return majority(hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
@@ -191,11 +199,4 @@ def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 4) -> DataFrame:
-    """docs with all its columns: of each component the document with the smallest doc_id stays."""
-    groups = near_groups(docs, words)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-
-
-__all__ = ["components", "drop_near_copies", "fingerprint", "fingerprints", "links", "near_groups", "survivors"]
+__all__ = ["components", "fingerprint", "fingerprints", "hashes", "links", "majority", "near_groups", "survivors"]

@@ -8,7 +8,7 @@ of its ids and its totals are pre-aggregated before they are shuffled, so no ran
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, heavy_keys
@@ -24,16 +24,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keep: which id of equal texts stays, "smallest" or "largest". Null texts equal empty ones; a null id yields to any
     other; of repeated rows with one id exactly one is kept; an empty table gives no rows; other columns are ignored.
     """
+    return _ranked(docs, id_col, text_col, keep).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _ranked(docs: DataFrame, id_col: str, text_col: str, keep: str, carried: Column | None = None) -> DataFrame:
+    """exact_groups' columns, and what is carried of each row as _carried."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is 'smallest' or 'largest', not {keep!r}")
     best = F.min if keep == "smallest" else F.max
     order = F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), (F.lit(None) if carried is None else carried).alias("_carried"))
     # equal normalised texts have equal lower-cased texts, so this 8-byte key finds every hot group
     rows = rows.withColumn("_key", F.xxhash64(F.lower("_text")))
     hot = heavy_keys(rows, "_key", docs.count())
     salted = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left").select(
         "doc_id",
+        "_carried",
         ascii_lower(F.col("_text")).alias("_norm"),
         F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).alias("_salt"),
     )
@@ -52,7 +58,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("_rank", F.row_number().over(run.orderBy(order)))
         .withColumn("_run_keep", best("doc_id").over(run))
         .withColumn("_run_size", F.count(F.lit(1)).over(run))
-        .select("doc_id", "_salt", "_rank", "_run_keep", "_run_size", F.sha2("_norm", 256).alias("text_sha256"))
+        .select("doc_id", "_carried", "_salt", "_rank", "_run_keep", "_run_size", F.sha2("_norm", 256).alias("text_sha256"))
     )
     joined = runs.join(F.broadcast(totals), (runs["text_sha256"] == totals["text_sha256"]) & (runs["_salt"] > 0), "left").drop(totals["text_sha256"])
     keep_id = F.when(F.col("_salt") > 0, F.col("_keep")).otherwise(F.col("_run_keep"))
@@ -62,14 +68,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("_size", "_run_size").alias("group_size"),
         ((F.col("_rank") == 1) & F.col("doc_id").eqNullSafe(keep_id)).alias("kept"),
         "text_sha256",
+        "_carried",
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs with all its columns, without the rows whose text a kept row has already. Ids are assumed to be unique; where
-    they are not, all rows of a kept id stay."""
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """docs with all its columns: of the rows with equal texts one stays, also where rows repeat an id or have none."""
+    every = F.struct(*(docs[c] for c in docs.columns))
+    return _ranked(docs, id_col, text_col, keep, every).filter("kept").select("_carried.*")
 
 
 __all__ = ["HEAVY_FLOOR", "HEAVY_SHARE", "drop_exact_copies", "exact_groups"]

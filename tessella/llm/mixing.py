@@ -14,15 +14,15 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize
+from tessella.llm.common import materialize, numbered
 
 BLOCK = 1024
 SEED = "mix-1"
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, *others: str) -> DataFrame:
     """doc_id, source, tokens (runs of visible characters of the whole text); null sources count as '', null texts as empty."""
-    return docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"))
+    return docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"), *others)
 
 
 def exponent(sizes: list[tuple[float, int]], repetition: float | None = None, entropy: float | None = None) -> float:
@@ -99,24 +99,30 @@ def mix(docs: DataFrame, repetition: float | None = None, entropy: float | None
     no rows; other columns are ignored. A document of a partial epoch is read while the tokens before it and half its own
     fit the block's budget.
     """
-    rows = materialize(counted(docs))
+    return _readings(counted(docs), repetition, entropy, budget, seed).select("doc_id", "source", "epoch", "block", "position", "tokens", "weight")
+
+
+def _readings(counts: DataFrame, repetition: float | None, entropy: float | None, budget: float | None, seed: str, *ties: str) -> DataFrame:
+    """mix() of counted rows, with their other columns; ties go by doc_id and then by the columns given."""
+    rows = materialize(counts)
     stats = materialize(rows.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents")))
     plan = weighted(stats, repetition, entropy, budget).select("source", "weight", "epochs", F.ceil(F.col("documents") / BLOCK).alias("blocks"))
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    # rows of a null id would all meet in one block; where rows are numbered, they are dealt by number
+    own = F.coalesce(F.col("doc_id").cast("string"), *(F.concat(F.lit("row "), F.col(t).cast("string")) for t in ties), F.lit(""))
     # few sources as a rule: Spark sends the plan to the tasks if it is small and splits hot sources of a sort-merge join
     placed = rows.join(plan, "source").withColumn("block", F.pmod(F.conv(F.substring(_digest(seed, own), 1, 12), 16, 10).cast("long"), F.col("blocks")))
     read = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil("epochs").cast("int")))).filter(F.col("epoch") < F.col("epochs"))
-    order = Window.partitionBy("source", "block", "epoch").orderBy(_digest(seed, own, F.col("epoch").cast("string")), "doc_id")
+    order = Window.partitionBy("source", "block", "epoch").orderBy(_digest(seed, own, F.col("epoch").cast("string")), "doc_id", *ties)
     ranked = read.withColumn("position", F.row_number().over(order)).withColumn("_before", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.withColumn("_block_tokens", F.sum("tokens").over(Window.partitionBy("source", "block", "epoch")))
     share = F.least(F.lit(1.0), F.col("epochs") - F.col("epoch"))
     kept = ranked.filter((share >= 1.0) | (F.col("_before") + F.col("tokens") / 2 <= share * F.col("_block_tokens")))
-    return kept.select("doc_id", "source", "epoch", "block", "position", "tokens", F.round("weight", 9).alias("weight"))
+    return kept.withColumn("weight", F.round("weight", 9))
 
 
 def mixed_documents(docs: DataFrame, repetition: float | None = None, entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """docs with all its columns, each row as often as mix() reads it."""
-    readings = mix(docs, repetition, entropy, budget).select(F.col("doc_id").alias("_read_id"))
-    return docs.join(readings.groupBy("_read_id").count().withColumnRenamed("count", "_times"), docs["doc_id"].eqNullSafe(F.col("_read_id"))).select(
-        *(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))).alias("_time")
-    ).drop("_time")
+    """docs with all its columns, each row as often as mix() reads it; rows that repeat an id or have none are read apart."""
+    rows = numbered(docs)
+    times = _readings(counted(rows, "_row_key"), repetition, entropy, budget, SEED, "_row_key").groupBy("_row_key").agg(F.count(F.lit(1)).cast("int").alias("_row_times"))
+    read = rows.join(times, "_row_key")
+    return read.withColumn("_row_time", F.explode(F.sequence(F.lit(1), F.col("_row_times")))).drop("_row_key", "_row_times", "_row_time")

@@ -4,8 +4,8 @@ Layout below one folder (Parquet, every file readable alone):
 
 * ``rows/kind=pack``   digest, ids: each distinct chunk of token ids once, little-endian unsigned 16- or 32-bit, named by its SHA-256
 * ``rows/kind=recipe`` doc_id, seq, digest, n: which chunks make up a document (as written by the encoding tasks)
-* ``recipes``          the recipes in ascending doc_id order with start, the ids of all documents before, n_tokens and each document's Merkle root
-* ``manifest``         one row per recipe part: its ordered documents' Merkle root
+* ``recipes``          the recipes in ascending doc_id order with start, the ids of all documents before, n_tokens, root (Merkle root over its chunks' digests) and ordinal, its place in its part
+* ``manifest``         one row per recipe part: Merkle root over its documents' leaves, which name doc_id, start, n_tokens and root
 
 A rolling hash over the last WINDOW ids cuts a document's stream where its low bits are zero, so equal passages give
 equal chunks wherever they stand. A task writes a chunk once; copies from different tasks meet by digest and one stays.
@@ -104,6 +104,29 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds root, in hexadecimal digits, of the digests in chunks."""
+    for batch in batches:
+        roots = [merkle([c["digest"] for c in chunks]).hex() for chunks in batch.column("chunks").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.string())], names=[*batch.schema.names, "root"])
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        roots = [merkle([n["node"] for n in nodes]) for nodes in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roots, pa.binary())], names=["part", "at", "node"])
+
+
+def part_roots(recipes: DataFrame) -> DataFrame:
+    """part and root of the tree over its documents' leaves, by subtrees of 1,024 so that no task holds all leaves of a part."""
+    leaf = F.unhex(F.sha2(F.concat_ws(":", "doc_id", "start", "n_tokens", "root"), 256))
+    nodes = recipes.select("part", F.col("ordinal").alias("at"), leaf.alias("node"))
+    for level in (F.floor(F.col("at") / 1024).cast("long"), F.lit(0).cast("long")):
+        lists = nodes.groupBy("part", level.alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("nodes"))
+        nodes = lists.mapInArrow(_trees, "part int, at long, node binary")
+    return nodes.select("part", F.lower(F.hex("node")).alias("root"))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, wide: bool = False) -> str:
     """Encode whole texts of docs (doc_id, text), append end_id to each and write the store at path; returns path.
 
@@ -121,16 +144,19 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         F.sum("n").cast("long").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest", "n"))), lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks")
     )
     parts = recipe.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("root", F.sha2(F.concat_ws("", F.transform("chunks", lambda c: F.hex(c["digest"]))), 256))
-    parts.write.parquet(f"{path}/ordered")
+    kinds = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int>>, part int"
+    parts.select("doc_id", "n_tokens", "chunks", "part").mapInArrow(_rooted, f"{kinds}, root string").write.parquet(f"{path}/ordered")
     ordered = spark.read.parquet(f"{path}/ordered")
     # one row a part: how many ids stand before it
     before = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    placed = ordered.withColumn("within", within).join(before.select("part", "before"), "part")
-    placed.select("part", "doc_id", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("start"), "n_tokens", "chunks", "root").write.parquet(f"{path}/recipes")
-    roots = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "root"))), lambda x: x["root"]), "")
-    spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.sha2(roots, 256).alias("root")).write.parquet(f"{path}/manifest")
+    own = Window.partitionBy("part").orderBy("doc_id")
+    within = F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    ordinal = F.row_number().over(own).cast("long") - 1
+    placed = ordered.withColumn("within", within).withColumn("ordinal", ordinal).join(before.select("part", "before"), "part")
+    placed.select("part", "ordinal", "doc_id", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("start"), "n_tokens", "chunks", "root").write.parquet(f"{path}/recipes")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    totals = recipes.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"))
+    totals.join(part_roots(recipes), "part").write.parquet(f"{path}/manifest")
     return path
 
 
@@ -139,14 +165,16 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checked(wide: bool):
-    kind = "<u4" if wide else "<u2"
+    kind, width = ("<u4", 4) if wide else ("<u2", 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            crc = [zlib.crc32(np.frombuffer(b, kind).astype("<u4").tobytes()) for b in blobs]
-            sound = [hashlib.sha256(b).digest() == d for b, d in zip(blobs, digests, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(sound)], names=["digest", "crc", "sound"])
+            crc = [zlib.crc32(np.frombuffer(b, kind, len(b) // width).astype("<u4").tobytes()) for b in blobs]
+            found = [hashlib.sha256(b).digest() for b in blobs]
+            sound = [f == d and len(b) % width == 0 for f, b, d in zip(found, blobs, digests, strict=True)]
+            sizes = [len(b) // width for b in blobs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary()), pa.array(sound)], names=["digest", "crc", "size", "found", "sound"])
 
     return run
 
@@ -188,33 +216,48 @@ def _joined_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(1)
         at = np.asarray(lists.offsets).astype(np.int64)
         flat = lists.flatten()
-        crc, n = np.asarray(flat.field("crc")).astype(np.uint64), np.asarray(flat.field("n")).astype(np.int64)
+        crc, n = np.asarray(flat.field("crc")).astype(np.uint64), np.asarray(flat.field("size")).astype(np.int64)
+        found = flat.field("found").to_pylist()
         count = np.diff(at) if len(at) > 1 else np.zeros(0, np.int64)
+        at = at - at[0] if len(at) else at
         base = at[:-1]
+        roots = [merkle(found[a:b]).hex() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        read = [int(n[a:b].sum()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         out = np.zeros(len(count), np.uint64)
         for k in range(int(count.max(initial=0))):
             live = np.flatnonzero(count > k)
             out[live] = crc_append(out[live], crc[base[live] + k], 4 * n[base[live] + k])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.int64))], names=["doc_id", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.int64)), pa.array(read, pa.int64()), pa.array(roots, pa.string())], names=["doc_id", "ids_crc32", "read", "tree"])
 
 
 def audit(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32, verified.
 
     Every stored chunk is read, checked against its name and summed once; a document's sum follows from its chunks'
-    (CRC-32 of a concatenation), so ids aren't shuffled. verified: all chunks are there and sound, lengths agree.
+    (CRC-32 of a concatenation), so ids aren't shuffled. verified: all chunks are there and sound, their lengths agree with
+    the recipe's and with n_tokens, the tree over the chunks read back has the recipe's root, and the tree over its part's
+    recipes has the manifest's. A part that disagrees with the manifest has no verified document. A document that was encoded
+    but has no recipe gives a row with nulls, as does (without doc_id) a part of the manifest that has no recipes.
     """
-    packs = _rows(spark, path).filter("kind = 'pack'").select("digest", "ids").mapInArrow(_checked(wide), "digest binary, crc long, sound boolean")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    packs = _rows(spark, path).filter("kind = 'pack'").select("digest", "ids").mapInArrow(_checked(wide), "digest binary, crc long, size long, found binary, sound boolean")
+    recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
     uses = recipes.select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", F.col("chunk.digest").alias("digest"), F.col("chunk.n").alias("n"))
     from tessella.llm.common import heavy_keys, skew_join
 
     joined = skew_join(uses, packs, "digest", heavy_keys(uses, "digest", recipes.count()), F.struct("doc_id", "seq"))
-    by_doc = joined.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", F.coalesce("crc", F.lit(0)).alias("crc"), "n"))).alias("parts"), F.every(F.coalesce("sound", F.lit(False))).alias("verified")
-    )
-    sums = by_doc.select("doc_id", "parts").mapInArrow(_joined_crc, "doc_id long, ids_crc32 long")
-    return recipes.select("doc_id", "start", "n_tokens").join(by_doc.select("doc_id", "verified"), "doc_id").join(sums, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+    part = F.struct("seq", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("found", F.unhex(F.lit(""))).alias("found"))
+    sound = F.every(F.coalesce(F.col("sound") & (F.col("size") == F.col("n")), F.lit(False)))
+    by_doc = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), sound.alias("sound"))
+    sums = by_doc.select("doc_id", "parts").mapInArrow(_joined_crc, "doc_id long, ids_crc32 long, read long, tree string")
+    totals = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"))
+    agreed = totals.join(part_roots(recipes), "part").join(manifest.select("part", "documents", "ids", "root"), ["part", "documents", "ids", "root"]).select("part", F.lit(True).alias("agreed"))
+    checked = recipes.select("part", "doc_id", "start", "n_tokens", "root").join(by_doc.select("doc_id", "sound"), "doc_id", "left").join(sums, "doc_id", "left").join(F.broadcast(agreed), "part", "left")
+    verified = F.coalesce(F.col("sound") & F.col("agreed") & (F.col("read") == F.col("n_tokens")) & (F.col("tree") == F.col("root")), F.lit(False))
+    written = _rows(spark, path).filter("kind = 'recipe'").select("doc_id").distinct()
+    rows = checked.join(written, "doc_id", "full").select("doc_id", "start", "n_tokens", "ids_crc32", verified.alias("verified"))
+    none = F.lit(None).cast("long")
+    lost = manifest.join(totals.select("part"), "part", "left_anti").select(none.alias("doc_id"), none.alias("start"), none.alias("n_tokens"), none.alias("ids_crc32"), F.lit(False).alias("verified"))
+    return rows.union(lost)
 
 
 def documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:

@@ -3,9 +3,9 @@
 Layout below one folder (Parquet, every file readable alone):
 
 * ``rows/kind=pack``   digest, ids: each distinct chunk of token ids once, little-endian unsigned 16- or 32-bit, named by its SHA-256
-* ``rows/kind=recipe`` doc_id, seq, digest, n: which chunks make up a document (as written by the encoding tasks)
-* ``recipes``          the recipes in ascending doc_id order with start, the ids of all documents before, n_tokens, root (Merkle root over its chunks' digests) and ordinal, its place in its part
-* ``manifest``         one row per recipe part: Merkle root over its documents' leaves, which name doc_id, start, n_tokens and root
+* ``rows/kind=recipe`` doc_id, row, seq, digest, n: which chunks make up a document (as written by the encoding tasks); row tells documents with one id apart
+* ``recipes``          the recipes in ascending doc_id order: doc_id, row, n_tokens, chunks, root (Merkle root over its chunks' digests), part, ordinal (its place in the part) and start (the ids before it in the part)
+* ``manifest``         one row per recipe part: the ids before it, and the Merkle root over its documents' leaves, which name doc_id, start, n_tokens and root
 
 A rolling hash over the last WINDOW ids cuts a document's stream where its low bits are zero, so equal passages give
 equal chunks wherever they stand. A task writes a chunk once; copies from different tasks meet by digest and one stays.
@@ -22,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
+from tessella.llm.common import heavy_keys, skew_join
 from tessella.llm.tokens import default_path, encoded
 
 WINDOW = 16
@@ -61,39 +63,49 @@ def _chunked(path: str, end_id: int, wide: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, None] = {}
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0) << 40
         for batch in batches:
             for own, flat, at in encoded(batch.column(0), batch.column(1), path):
                 stream = np.insert(flat, at[1:], np.uint32(end_id))
                 bounds = (at + np.arange(len(at))).tolist()
                 places, data = marks(stream).tolist(), stream.astype(kind).tobytes()
-                rows: list[tuple] = []
-                for k, doc in enumerate(own):
-                    last = bounds[k]
-                    for seq, end in enumerate(cuts(places, last, bounds[k + 1])):
+                seqs: list[int] = []
+                counts, sizes, digests, packs, named = [], [], [], [], []
+                for last, stop in zip(bounds, bounds[1:]):
+                    ends = cuts(places, last, stop)
+                    counts.append(len(ends))
+                    seqs += range(len(ends))
+                    for end in ends:
                         blob = data[width * last : width * end]
                         digest = hashlib.sha256(blob).digest()
-                        rows.append(("recipe", doc, seq, digest, end - last, None))
+                        digests.append(digest)
+                        sizes.append(end - last)
                         if digest not in seen:
-                            if len(seen) >= REMEMBERED:
-                                for old in list(seen)[: REMEMBERED // 2]:
-                                    del seen[old]
                             seen[digest] = None
-                            rows.append(("pack", None, None, digest, end - last, blob))
+                            named.append(digest)
+                            packs.append(blob)
                         last = end
-                    if len(rows) >= 1024:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
+                if len(seen) > REMEMBERED:
+                    for old in list(seen)[: REMEMBERED // 2]:
+                        del seen[old]
+                whose = np.repeat(np.arange(len(own)), counts)
+                yield _batch("recipe", pa.array(own, pa.int64()).take(pa.array(whose)), pa.array(row + whose), pa.array(seqs, pa.int32()), digests, pa.array(sizes, pa.int32()), None)
+                yield _batch("pack", None, None, None, named, pa.array([len(p) // width for p in packs], pa.int32()), packs)
+                row += len(own)
 
     return run
 
 
-_SCHEMA = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
+_SCHEMA = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int32()), ("digest", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
+_ROWS = "kind string, doc_id long, row long, seq int, digest binary, n int, ids binary"
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+def _batch(kind: str, *columns) -> pa.RecordBatch:
+    """A batch of one kind of rows; columns that aren't given are null."""
+    n = len(columns[3])
+    arrays = [pa.nulls(n, f.type) if c is None else pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip((pa.repeat(kind, n), *columns), _SCHEMA, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -104,11 +116,16 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds root, in hexadecimal digits, of the digests in chunks."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a part's documents in order: adds their place, the ids before them in the part, and the root of their chunks."""
+    place, before = 0, 0
     for batch in batches:
         roots = [merkle([c["digest"] for c in chunks]).hex() for chunks in batch.column("chunks").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots, pa.string())], names=[*batch.schema.names, "root"])
+        ids = np.asarray(batch.column("n_tokens"))
+        ends = before + np.cumsum(ids)
+        new = [pa.array(place + np.arange(len(batch))), pa.array(ends - ids), pa.array(roots, pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "ordinal", "start", "root"])
+        place, before = place + len(batch), int(ends[-1]) if len(batch) else before
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +136,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def part_roots(recipes: DataFrame) -> DataFrame:
     """part and root of the tree over its documents' leaves, by subtrees of 1,024 so that no task holds all leaves of a part."""
-    leaf = F.unhex(F.sha2(F.concat_ws(":", "doc_id", "start", "n_tokens", "root"), 256))
+    leaf = F.unhex(F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "start", "n_tokens", "root"), 256))
     nodes = recipes.select("part", F.col("ordinal").alias("at"), leaf.alias("node"))
     for level in (F.floor(F.col("at") / 1024).cast("long"), F.lit(0).cast("long")):
         lists = nodes.groupBy("part", level.alias("up")).agg(F.array_sort(F.collect_list(F.struct("at", "node"))).alias("nodes"))
@@ -130,38 +147,34 @@ def part_roots(recipes: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, wide: bool = False) -> str:
     """Encode whole texts of docs (doc_id, text), append end_id to each and write the store at path; returns path.
 
-    A null text counts as empty (its stream is end_id alone). Rows without doc_id are left out; doc_id must be unique, but
-    rows that repeat both id and text count once. An empty table writes an empty store. wide: 32-bit ids, for
-    vocabularies over 65,536.
+    Every row is a document of its own: rows that repeat an id stay apart, one after another, and rows without an id come
+    last. A null text counts as empty (its stream is end_id alone); an empty table writes an empty store; other columns are
+    ignored. wide: 32-bit ids, for vocabularies over 65,536. docs should be a table that is read alike when a task is
+    repeated, as rows are known by their place in it.
     """
     spark = docs.sparkSession
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer or default_path(), end_id, wide), "kind string, doc_id long, seq int, digest binary, n int, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_chunked(tokenizer or default_path(), end_id, wide), _ROWS)
     # packs meet by digest; recipes are dealt by document, so a chunk that many documents share makes no large partition
-    route = F.when(F.col("kind") == "pack", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "seq"))
-    unique = rows.withColumn("route", route).repartition("route").dropDuplicates(["route", "kind", "digest", "doc_id", "seq"]).drop("route")
+    route = F.when(F.col("kind") == "pack", F.xxhash64("digest")).otherwise(F.xxhash64("row", "seq"))
+    unique = rows.withColumn("route", route).repartition("route").dropDuplicates(["route", "kind", "digest", "row", "seq"]).drop("route")
     unique.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/rows")
-    recipe = _rows(spark, path).filter("kind = 'recipe'").groupBy("doc_id").agg(
-        F.sum("n").cast("long").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest", "n"))), lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks")
+    recipe = _rows(spark, path).filter("kind = 'recipe'").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n").cast("long").alias("n_tokens"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest", "n"))), lambda c: F.struct(c["digest"].alias("digest"), c["n"].alias("n"))).alias("chunks")
     )
-    parts = recipe.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    kinds = "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int>>, part int"
-    parts.select("doc_id", "n_tokens", "chunks", "part").mapInArrow(_rooted, f"{kinds}, root string").write.parquet(f"{path}/ordered")
-    ordered = spark.read.parquet(f"{path}/ordered")
-    # one row a part: how many ids stand before it
-    before = ordered.groupBy("part").agg(F.sum("n_tokens").alias("ids")).withColumn("before", F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    own = Window.partitionBy("part").orderBy("doc_id")
-    within = F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    ordinal = F.row_number().over(own).cast("long") - 1
-    placed = ordered.withColumn("within", within).withColumn("ordinal", ordinal).join(before.select("part", "before"), "part")
-    placed.select("part", "ordinal", "doc_id", (F.coalesce("before", F.lit(0)) + F.coalesce("within", F.lit(0))).alias("start"), "n_tokens", "chunks", "root").write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    parts = recipe.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    kinds = "doc_id long, row long, n_tokens long, chunks array<struct<digest: binary, n: int>>, part int, ordinal long, start long, root string"
+    parts.select("doc_id", "row", "n_tokens", "chunks", "part").mapInArrow(_placed, kinds).write.parquet(f"{path}/recipes")
+    recipes = spark.read.schema(kinds).parquet(f"{path}/recipes")
     totals = recipes.groupBy("part").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"))
-    totals.join(part_roots(recipes), "part").write.parquet(f"{path}/manifest")
+    # one row a part: how many ids stand before it
+    before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals.withColumn("before", before).join(part_roots(recipes), "part").write.parquet(f"{path}/manifest")
     return path
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("doc_id long, seq int, digest binary, n int, ids binary, kind string").parquet(f"{path}/rows")
+    return spark.read.schema("doc_id long, row long, seq int, digest binary, n int, ids binary, kind string").parquet(f"{path}/rows")
 
 
 def _checked(wide: bool):
@@ -211,23 +224,30 @@ def crc_append(crc: np.ndarray, tail: np.ndarray, size: np.ndarray) -> np.ndarra
     return out ^ tail.astype(np.uint64)
 
 
-def _joined_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From a document's chunks in order, as they were read: the sum of all its ids, their number, and the root of the chunks' tree."""
     for batch in batches:
         lists = batch.column(1)
         at = np.asarray(lists.offsets).astype(np.int64)
         flat = lists.flatten()
         crc, n = np.asarray(flat.field("crc")).astype(np.uint64), np.asarray(flat.field("size")).astype(np.int64)
         found = flat.field("found").to_pylist()
-        count = np.diff(at) if len(at) > 1 else np.zeros(0, np.int64)
         at = at - at[0] if len(at) else at
-        base = at[:-1]
-        roots = [merkle(found[a:b]).hex() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        read = [int(n[a:b].sum()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        count, base, spans = np.diff(at), at[:-1], list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        roots, read = [merkle(found[a:b]).hex() for a, b in spans], [int(n[a:b].sum()) for a, b in spans]
         out = np.zeros(len(count), np.uint64)
         for k in range(int(count.max(initial=0))):
             live = np.flatnonzero(count > k)
             out[live] = crc_append(out[live], crc[base[live] + k], 4 * n[base[live] + k])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.int64)), pa.array(read, pa.int64()), pa.array(roots, pa.string())], names=["doc_id", "ids_crc32", "read", "tree"])
+        arrays = [batch.column(0), batch.column(2), pa.array(out.astype(np.int64)), pa.array(read, pa.int64()), pa.array(roots, pa.string())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["row", "sound", "ids_crc32", "read", "tree"])
+
+
+def _joined(spark: SparkSession, path: str, packs: DataFrame) -> DataFrame:
+    """The recipes' chunks (row, seq, digest, n) with what packs holds of each; a chunk that many documents share is dealt over salts."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    uses = recipes.select("row", F.posexplode("chunks").alias("seq", "chunk")).select("row", "seq", F.col("chunk.digest").alias("digest"), F.col("chunk.n").alias("n"))
+    return skew_join(uses, packs, "digest", heavy_keys(uses, "digest", recipes.count()), F.struct("row", "seq"))
 
 
 def audit(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
@@ -237,38 +257,37 @@ def audit(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     (CRC-32 of a concatenation), so ids aren't shuffled. verified: all chunks are there and sound, their lengths agree with
     the recipe's and with n_tokens, the tree over the chunks read back has the recipe's root, and the tree over its part's
     recipes has the manifest's. A part that disagrees with the manifest has no verified document. A document that was encoded
-    but has no recipe gives a row with nulls, as does (without doc_id) a part of the manifest that has no recipes.
+    but has no recipe gives a row without start and sums, as does (without doc_id) a part of the manifest that has no
+    recipes. Null and repeated ids give a row for every document; an empty store gives none.
     """
     packs = _rows(spark, path).filter("kind = 'pack'").select("digest", "ids").mapInArrow(_checked(wide), "digest binary, crc long, size long, found binary, sound boolean")
     recipes, manifest = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/manifest")
-    uses = recipes.select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", F.col("chunk.digest").alias("digest"), F.col("chunk.n").alias("n"))
-    from tessella.llm.common import heavy_keys, skew_join
-
-    joined = skew_join(uses, packs, "digest", heavy_keys(uses, "digest", recipes.count()), F.struct("doc_id", "seq"))
     part = F.struct("seq", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("size", F.lit(0).cast("long")).alias("size"), F.coalesce("found", F.unhex(F.lit(""))).alias("found"))
     sound = F.every(F.coalesce(F.col("sound") & (F.col("size") == F.col("n")), F.lit(False)))
-    by_doc = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(part)).alias("parts"), sound.alias("sound"))
-    sums = by_doc.select("doc_id", "parts").mapInArrow(_joined_crc, "doc_id long, ids_crc32 long, read long, tree string")
+    rebuilt = _joined(spark, path, packs).groupBy("row").agg(F.array_sort(F.collect_list(part)).alias("parts"), sound.alias("sound")).mapInArrow(_rebuilt, "row long, sound boolean, ids_crc32 long, read long, tree string")
     totals = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"))
-    agreed = totals.join(part_roots(recipes), "part").join(manifest.select("part", "documents", "ids", "root"), ["part", "documents", "ids", "root"]).select("part", F.lit(True).alias("agreed"))
-    checked = recipes.select("part", "doc_id", "start", "n_tokens", "root").join(by_doc.select("doc_id", "sound"), "doc_id", "left").join(sums, "doc_id", "left").join(F.broadcast(agreed), "part", "left")
+    # one row a part, and parts are tasks: few
+    same = ["part", "documents", "ids", "root"]
+    agreed = totals.join(part_roots(recipes), "part").join(manifest.select(*same, "before"), same).select("part", "before", F.lit(True).alias("agreed"))
+    checked = recipes.drop("chunks", "ordinal").join(rebuilt, "row", "left").join(F.broadcast(agreed), "part", "left")
     verified = F.coalesce(F.col("sound") & F.col("agreed") & (F.col("read") == F.col("n_tokens")) & (F.col("tree") == F.col("root")), F.lit(False))
-    written = _rows(spark, path).filter("kind = 'recipe'").select("doc_id").distinct()
-    rows = checked.join(written, "doc_id", "full").select("doc_id", "start", "n_tokens", "ids_crc32", verified.alias("verified"))
+    written = _rows(spark, path).filter("kind = 'recipe' and seq = 0").select("row", F.col("doc_id").alias("own"))
+    start = F.col("start") + F.coalesce("before", F.lit(0))
+    rows = checked.join(written, "row", "full").select(F.coalesce("doc_id", "own").alias("doc_id"), start.alias("start"), "n_tokens", "ids_crc32", verified.alias("verified"))
     none = F.lit(None).cast("long")
     lost = manifest.join(totals.select("part"), "part", "left_anti").select(none.alias("doc_id"), none.alias("start"), none.alias("n_tokens"), none.alias("ids_crc32"), F.lit(False).alias("verified"))
     return rows.union(lost)
 
 
 def documents(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
-    """doc_id and its ids in order, put together from the chunks."""
+    """doc_id and its ids in order, put together from the chunks; a row for every document, also where ids repeat or are null."""
     width = 4 if wide else 2
     packs = _rows(spark, path).filter("kind = 'pack'").select("digest", "ids")
-    uses = spark.read.parquet(f"{path}/recipes").select("doc_id", F.posexplode("chunks").alias("seq", "chunk")).select("doc_id", "seq", F.col("chunk.digest").alias("digest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [np.frombuffer(b"".join(x["ids"] for x in parts), f"<u{width}").astype(np.int64).tolist() for parts in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["row", "ids"])
 
-    return uses.join(packs, "digest").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts")).mapInArrow(run, "doc_id long, ids array<long>")
+    put = _joined(spark, path, packs).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts")).mapInArrow(run, "row long, ids array<long>")
+    return spark.read.parquet(f"{path}/recipes").select("doc_id", "row").join(put, "row").select("doc_id", "ids")

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, so there are fewer than HEAVY_SHARE heavy keys whatever the input.
-HEAVY_SHARE = 1024
+#: A key is heavy when it holds more than 1/HEAVY_SHARE of the rows, or more than HEAVY_ROWS.
+HEAVY_SHARE, HEAVY_ROWS = 1024, 100_000
 #: Keys with at most this many rows are never heavy (small tables would otherwise call every key heavy).
 HEAVY_FLOOR = 64
+#: Rows of a few columns that are broadcast at most; a larger side is left to Spark's own choice of a join.
+BROADCAST_ROWS = 200_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,11 +26,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster names in spark.checkpoint.dir; it goes when the session ends.
 
-    Only where that setting is absent (local tests) is a temporary folder chosen.
+    Where that setting is absent, a local session gets a temporary folder and a cluster an error, as its executors share none.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tessella-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/tessella/{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
@@ -36,25 +42,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and every executor can see the files."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and every executor can see the files. by: columns
+    of few values, each of which gets a folder that is read alone."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs, written once with a unique number of each row as _row_key: rows that repeat an id stay apart in later joins."""
-    return materialize(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many low lines after it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> None:
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs, written once with a unique number of each row, and that column's name: rows that repeat an id stay apart in later joins."""
+    key = fresh(docs, "_row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df (written, of a few narrow columns), broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 4 << 20) -> dict[str, str]:
     """Let the session send whole texts to Python in batches of at most so many rows and about so many bytes: a task then holds
-    few of them outside its heap. A stage's plan runs after the stage's return, so the setting stays."""
+    few of them outside its heap. A stage's plan runs after the stage's return, so the setting stays; the settings before
+    are returned for who wants them back."""
+    before = {}
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(key).rstrip("b"))
+        before[key] = spark.conf.get(key)
+        now = int(before[key].rstrip("b"))
         spark.conf.set(key, str(min(now, most) if now > 0 else most))
+    return before
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,26 +87,34 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def heavy_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """The fewer than HEAVY_SHARE keys with more than rows/HEAVY_SHARE (and HEAVY_FLOOR) rows: column key.
-
-    Counts combine map-side; the bound makes the result safe to broadcast.
+def heavy_keys(df: DataFrame, keys: str | Sequence[str], rows: int) -> DataFrame:
+    """The keys with more than rows/HEAVY_SHARE or HEAVY_ROWS (and HEAVY_FLOOR) rows, written: the keys and _fan, the number of
+    salts that deal them out (64 or more, so that a salt has at most HEAVY_ROWS rows). Counts combine map-side.
     """
-    limit = max(HEAVY_FLOOR, rows // HEAVY_SHARE)
-    return df.groupBy(key).count().filter((F.col("count") > limit) & F.col(key).isNotNull()).select(key)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    return heavy_counts(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, rows)
+
+
+def heavy_counts(counts: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """heavy_keys of keys that are counted already (_n)."""
+    limit = min(max(HEAVY_FLOOR, rows // HEAVY_SHARE), HEAVY_ROWS)
+    found = counts.filter(F.col("_n") > limit).dropna(subset=list(keys))
+    return materialize(found.select(*keys, F.greatest(F.lit(64), F.ceil(F.col("_n") / HEAVY_ROWS)).cast("int").alias("_fan")))
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame, spread: Column, fan: int = 64) -> DataFrame:
-    """left outer join on key in which rows of a heavy key are dealt over fan salts, taken from spread (a column of left).
+def skew_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], heavy: DataFrame, spread: Column) -> DataFrame:
+    """left outer join on keys in which rows of a heavy key are dealt over its salts, taken from spread (a column of left).
 
-    right has one row a key; its heavy rows (fewer than HEAVY_SHARE) are repeated for every salt.
+    right has one row a key; heavy (heavy_keys of some or all of the keys) has rows that are repeated for every salt.
     """
-    hot = F.broadcast(heavy.select(key).withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(fan)).cast("int")).otherwise(F.lit(0))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(fan - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
-    b = right.join(hot, key, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return a.join(b, [key, "_salt"], "left").drop("_salt")
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    own = [c for c in heavy.columns if c != "_fan"]
+    hot = bounded(heavy)
+    salt = F.when(F.col("_fan").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_fan")).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("_fan").isNotNull(), F.sequence(F.lit(0), F.col("_fan") - 1)).otherwise(F.array(F.lit(0)))
+    a = left.join(hot, own, "left").withColumn("_salt", salt).drop("_fan")
+    b = right.join(hot, own, "left").withColumn("_salt", F.explode(salts)).drop("_fan")
+    return a.join(b, [*keys, "_salt"], "left").drop("_salt")
 
 
 def below(df: DataFrame, salt: int, rows: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Texts are normalised (A-Z lower-cased, null counts as empty) and range-partitioned: Spark samples splitters from the
 normalised texts, every task sorts its range externally, and equal texts end up side by side, where whole texts are
-compared with their neighbours. A text that holds more than 1/1024 of the rows is dealt over several ranges by a salt
-of its ids and its totals are pre-aggregated before they are shuffled, so no range holds a whole hot group.
+compared with their neighbours. A text that holds more than 1/1024 of the rows (or 100,000) is dealt over several ranges
+by a salt of its ids and its totals are pre-aggregated before they are shuffled, so no range holds a whole hot group.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, heavy_keys
+from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, bounded, heavy_keys, materialize
 
-SALTS = 64
 #: Characters of a text that a splitter holds; ties are split by hash.
 BEGIN = 32
 
@@ -37,15 +36,16 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, keep: str, carried: Col
     # equal normalised texts have equal lower-cased texts, so this 8-byte key finds every hot group
     rows = rows.withColumn("_key", F.xxhash64(F.lower("_text")))
     hot = heavy_keys(rows, "_key", docs.count())
-    salted = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "_key", "left").select(
+    spread = F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))
+    salted = rows.join(bounded(hot), "_key", "left").select(
         "doc_id",
         "_carried",
         ascii_lower(F.col("_text")).alias("_norm"),
-        F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(F.lit(0)).alias("_salt"),
+        F.when(F.col("_fan").isNotNull(), F.pmod(spread, F.col("_fan")) + 1).otherwise(F.lit(0)).alias("_salt"),
     )
-    totals = (
-        salted.filter("_salt > 0")
-        .groupBy("_norm")
+    totals = materialize(
+        rows.join(bounded(hot), "_key")
+        .groupBy(ascii_lower(F.col("_text")).alias("_norm"))
         .agg(best("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
         .select(F.sha2("_norm", 256).alias("text_sha256"), "_keep", "_size")
     )
@@ -60,7 +60,7 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, keep: str, carried: Col
         .withColumn("_run_size", F.count(F.lit(1)).over(run))
         .select("doc_id", "_carried", "_salt", "_rank", "_run_keep", "_run_size", F.sha2("_norm", 256).alias("text_sha256"))
     )
-    joined = runs.join(F.broadcast(totals), (runs["text_sha256"] == totals["text_sha256"]) & (runs["_salt"] > 0), "left").drop(totals["text_sha256"])
+    joined = runs.join(bounded(totals), (runs["text_sha256"] == totals["text_sha256"]) & (runs["_salt"] > 0), "left").drop(totals["text_sha256"])
     keep_id = F.when(F.col("_salt") > 0, F.col("_keep")).otherwise(F.col("_run_keep"))
     return joined.select(
         "doc_id",

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import materialize, numbered
+from tessella.llm.common import bounded, fresh, materialize, numbered
 
 BLOCK = 1024
 SEED = "mix-1"
@@ -121,8 +121,18 @@ def _readings(counts: DataFrame, repetition: float | None, entropy: float | None
 
 
 def mixed_documents(docs: DataFrame, repetition: float | None = None, entropy: float | None = None, budget: float | None = None) -> DataFrame:
-    """docs with all its columns, each row as often as mix() reads it; rows that repeat an id or have none are read apart."""
-    rows = numbered(docs)
-    times = _readings(counted(rows, "_row_key"), repetition, entropy, budget, SEED, "_row_key").groupBy("_row_key").agg(F.count(F.lit(1)).cast("int").alias("_row_times"))
-    read = rows.join(times, "_row_key")
-    return read.withColumn("_row_time", F.explode(F.sequence(F.lit(1), F.col("_row_times")))).drop("_row_key", "_row_times", "_row_time")
+    """docs with all its columns, each row as often as mix() reads it; rows that repeat an id or have none are read apart.
+
+    Texts stay where they are if few rows are read other than once. Extra columns of any name are kept; null sources count
+    as '', null texts as empty ones; an empty table gives no rows.
+    """
+    rows, key = numbered(docs)
+    own = rows.select(F.col(key).alias("_row_key"), "doc_id", "source", "text")
+    readings = _readings(counted(own, "_row_key"), repetition, entropy, budget, SEED, "_row_key").groupBy("_row_key").agg(F.count(F.lit(1)).cast("int").alias("_row_times"))
+    times, time = fresh(docs, "_row_times"), fresh(docs, "_row_time")
+    readings = readings.withColumnsRenamed({"_row_key": key, "_row_times": times})
+    if budget is None:  # every row is read once at least
+        read = rows.join(bounded(materialize(readings.filter(F.col(times) > 1))), key, "left")
+    else:
+        read = rows.join(readings, key)
+    return read.withColumn(time, F.explode(F.sequence(F.lit(1), F.coalesce(F.col(times), F.lit(1))))).drop(key, times, time)

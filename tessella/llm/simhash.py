@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import heavy_keys, materialize, skew_join
+from tessella.llm.common import heavy_counts, heavy_keys, materialize, skew_join
 
 SEED = 42
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -146,11 +146,12 @@ def _bucket(values: np.ndarray, first: int) -> list[np.ndarray]:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a < b) among distinct fingerprints fp that connect all that differ in at most MOST bits, directly or not."""
+    """Links (a < b) among distinct fingerprints fp that connect all that differ in at most MOST bits, directly or not; an empty table has none."""
     fp = F.col("fp")
     keyed = distinct.select("fp", F.explode(F.array(*_keys(fp))).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    rows = keyed.join(counts.filter("n > 1"), "key")
+    counts = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    hot = heavy_counts(counts, ["key"], distinct.count())
+    rows = skew_join(keyed, counts.withColumnRenamed("_n", "n"), "key", hot, F.col("fp")).filter("n is not null")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), blocks).cast("int")
     pairs = F.explode(F.sequence(F.lit(0), blocks - 1))

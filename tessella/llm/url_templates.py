@@ -68,6 +68,7 @@ def templates(rows: DataFrame, tree: Tree = Tree()) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum(F.when(labelled, 1).otherwise(0)).alias("labelled"), F.sum(F.when(F.col("rule_verdict") == "block", 1).otherwise(0)).alias("blocked")
     )
     nodes = materialize(counted.withColumn("template", F.lit("")))
+    hot = heavy_keys(nodes, "host", nodes.count())  # hosts of very many shapes are dealt over salts in every join
     for level in range(tree.depth + 1):
         at = nodes.withColumn("segment", F.get(F.col("shape"), F.lit(level)))
         children = at.filter("segment is not null").groupBy("host", "template", "segment").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
@@ -78,17 +79,18 @@ def templates(rows: DataFrame, tree: Tree = Tree()) -> DataFrame:
         error = F.sqrt(F.try_divide(rate * (1 - rate), F.col("labelled")))
         variable = (F.col("kinds") > tree.fan) & (F.col("n") < tree.share * F.col("all_n") / F.col("kinds") + 1)
         similar = (F.col("known") > 1) & (F.col("labelled") > 0) & (F.abs(F.try_divide("blocked", "labelled") - rate) <= tree.z * error)
-        named = children.join(parent, ["host", "template"]).select("host", "template", "segment", F.when(variable | similar, F.lit("*")).otherwise(F.col("segment")).alias("name"))
+        named = skew_join(children, parent, ["host", "template"], hot, F.col("segment")).select("host", "template", "segment", F.when(variable | similar, F.lit("*")).otherwise(F.col("segment")).alias("name"))
         path = F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "name"))
-        nodes = materialize(at.join(named, ["host", "template", "segment"], "left").select("host", "shape", "n", "labelled", "blocked", path.alias("template")))
+        put = skew_join(at, named, ["host", "template", "segment"], hot, F.col("shape"))
+        nodes = materialize(put.select("host", "shape", "n", "labelled", "blocked", path.alias("template")))
     by_template = nodes.groupBy("host", "template").agg(F.sum("labelled").alias("t_labelled"), F.sum("blocked").alias("t_blocked"))
     by_host = nodes.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
     corpus = nodes.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("corpus"))
     host_rate = (F.col("h_blocked") + tree.prior * F.col("corpus")) / (F.col("h_labelled") + tree.prior)
     impurity = (F.col("t_blocked") + tree.prior * host_rate) / (F.col("t_labelled") + tree.prior)
-    judged = by_template.join(by_host, "host").join(F.broadcast(corpus)).withColumn("impurity", impurity)
+    judged = skew_join(by_template, by_host, "host", hot, F.col("template")).join(F.broadcast(corpus)).withColumn("impurity", impurity)
     verdict = F.when(F.col("impurity") > tree.reject, "block").otherwise("allow")
-    return nodes.join(judged, ["host", "template"]).select("host", "shape", "template", "impurity", verdict.alias("verdict"))
+    return skew_join(nodes, judged, ["host", "template"], hot, F.col("shape")).select("host", "shape", "template", "impurity", verdict.alias("verdict"))
 
 
 def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
@@ -100,10 +102,9 @@ def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
     """
     rows = ruled(pages, rules).withColumn("shape", shape(F.col("path"), tree.depth))
     found = templates(rows, tree)
-    keyed = rows.withColumn("_key", F.xxhash64("host", "shape"))
     # shapes are few where pages are many: page rows of a hot shape are dealt over salts
-    hot = heavy_keys(keyed, "_key", pages.count())
-    table = found.select(F.xxhash64("host", "shape").alias("_key"), "template", "impurity", F.col("verdict").alias("_verdict"))
-    out = skew_join(keyed.drop("shape"), table, "_key", hot, F.struct("page_id", "path"))
+    hot = heavy_keys(rows, ["host", "shape"], pages.count())
+    table = found.select("host", "shape", "template", "impurity", F.col("verdict").alias("_verdict"))
+    out = skew_join(rows, table, ["host", "shape"], hot, F.struct("page_id", "path"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", "_verdict").alias("verdict"), "template", "impurity")
 

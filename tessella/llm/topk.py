@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the vectors answers; their vectors are what is broadcast.
-QUERIES = 2048
+from tessella.llm.common import materialize, shared_dir
+
+#: Queries, and bytes of their vectors, that about one pass over the vectors answers; they are what is sent to the tasks.
+QUERIES, QUERY_BYTES = 2048, 8 << 20
 BLOCK = 8
-ROWS = 8192
+#: Components of vectors that a task holds in vertical layout at a time.
+HELD = 1 << 19
 
 
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -70,9 +73,9 @@ class _Slice:
         return out
 
 
-def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
+def _searched(query_ids: np.ndarray, keys: np.ndarray, queries: np.ndarray, k: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = _remaining(np.ascontiguousarray(queries.T), block)
+        mass, rows_at_once = _remaining(np.ascontiguousarray(queries.T), block), max(64, HELD // queries.shape[1])
         best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in query_ids]
         known = np.full(len(query_ids), -np.inf)
         for batch in batches:
@@ -82,9 +85,10 @@ def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
             if not len(use):
                 continue
             flat = np.asarray(lists.flatten())
-            rows = flat[(np.asarray(lists.offsets)[use] - np.asarray(lists.offsets)[0])[:, None] + np.arange(queries.shape[1])]
-            for i in range(0, len(use), ROWS):
-                part = _Slice(ids[use[i : i + ROWS]], rows[i : i + ROWS], block)
+            first = np.asarray(lists.offsets)[use] - np.asarray(lists.offsets)[0]
+            for i in range(0, len(use), rows_at_once):
+                rows = flat[first[i : i + rows_at_once, None] + np.arange(queries.shape[1])]
+                part = _Slice(ids[use[i : i + rows_at_once]], rows, block)
                 for q, (vec, score) in enumerate(part.best(queries, query_ids, mass, k, known)):
                     v, s = np.concatenate([best[q][0], vec]), np.concatenate([best[q][1], score])
                     order = np.lexsort((v, -s))[:k]
@@ -92,7 +96,8 @@ def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
                     if len(order) == k:
                         known[q] = best[q][1][-1]
         counts = [len(v) for v, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, counts)), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([s for _, s in best]))], names=["query_id", "vec_id", "score"])
+        columns = [np.repeat(query_ids, counts), np.repeat(keys, counts), np.concatenate([v for v, _ in best]), np.concatenate([s for _, s in best])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "query", "vec_id", "score"])
 
     return run
 
@@ -100,22 +105,26 @@ def _searched(query_ids: np.ndarray, queries: np.ndarray, k: int, block: int):
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK, at_once: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products, ties to the smaller vec_id.
 
-    Both tables hold vec_id and v (whole numbers). A vector isn't its own query's answer and meets only queries of its
-    length; a query without partners gives no rows; rows that repeat an id are answers of their own. Queries go in blocks
-    of at_once: a pass over the vectors each, with the block's vectors sent to the tasks.
+    Both tables hold vec_id and v (whole numbers); other columns are ignored. A vector isn't its own query's answer and
+    meets only queries of its length; a query without partners gives no rows. Candidates that repeat an id are answers of
+    their own. Queries that repeat both id and vector are one query, and those that share an id alone are ranked apart. An
+    empty table gives no rows. Queries are dealt by hash into blocks of about at_once: a pass over the vectors each, whose
+    results are written before the driver reads the next block, so that it holds one.
     """
-    spark = vectors.sparkSession
-    marks = queries.select(F.size("v").alias("size")).groupBy("size").count().collect()
-    found = None
-    for mark in sorted(marks, key=lambda m: m["size"]):
-        rest, last = queries.filter(F.size("v") == mark["size"]), None
-        for _ in range(0, mark["count"], at_once):
-            block_rows = (rest if last is None else rest.filter(F.col("vec_id") > last)).orderBy("vec_id").limit(at_once).collect()
-            last = block_rows[-1]["vec_id"]
-            ids, data = np.array([r["vec_id"] for r in block_rows], np.int64), np.array([r["v"] for r in block_rows], np.int64)
-            part = vectors.select("vec_id", "v").mapInArrow(_searched(ids, data, k, block), "query_id long, vec_id long, score long")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    spark, kinds = vectors.sparkSession, "query_id long, query long, vec_id long, score long"
+    asked = queries.select("vec_id", "v").distinct().withColumns({"size": F.size("v"), "query": F.xxhash64("vec_id", "v")})
+    fit = F.greatest(F.lit(1), F.least(F.lit(at_once), F.floor(F.lit(QUERY_BYTES) / (8 * F.col("size")))))
+    sizes = asked.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size", F.ceil(F.col("n") / fit).alias("blocks"))
+    dealt = materialize(asked.join(sizes, "size").withColumn("block", F.pmod("query", "blocks")).drop("blocks"), "size", "block")
+    passes = sorted((r["size"], r["block"]) for r in dealt.select("size", "block").distinct().collect())
+    found, path = spark.createDataFrame([], kinds), shared_dir(spark)
+    for size, part in passes:
+        rows = dealt.filter((F.col("size") == size) & (F.col("block") == part)).collect()
+        ids, keys, data = (np.array([r[c] for r in rows], np.int64) for c in ("vec_id", "query", "v"))
+        found = vectors.select("vec_id", "v").mapInArrow(_searched(ids, keys, data, k, block), kinds)
+        if len(passes) > 1:
+            found.write.mode("append").parquet(path)
+    if len(passes) > 1:
+        found = spark.read.schema(kinds).parquet(path)
+    order = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,13 +1,14 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
-The network reads a text's UTF-8 bytes in windows of WINDOW bytes, forwards and backwards, labels every position and
-pools a document's probabilities over all its positions. It is trained in numpy by backpropagation through time on
-windows of a bounded sample of labelled rows; whole texts are labelled inside tasks, many windows side by side.
+The network reads a text's UTF-8 bytes forwards and backwards, labels every position and pools a document's probabilities
+over all its positions. A text is labelled in windows of CORE bytes that overlap their neighbours by CONTEXT bytes on
+either side, so that states have settled where positions count; windows begin and end between characters. The network is
+trained in numpy by backpropagation through time on stretches drawn from the whole texts of a bounded sample of labelled
+rows; whole texts are labelled inside tasks, many windows side by side.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,16 +18,20 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import below
 
-WINDOW = 64
+CORE, CONTEXT = 192, 32
+WIDTH = CORE + 2 * CONTEXT
 HIDDEN = 8
-#: Labelled rows that training takes (those with the smallest hash of doc_id), and windows of each.
-SAMPLE_ROWS, SAMPLE_WINDOWS = 3000, 4
+#: Labelled rows that training takes (those with the smallest hash of doc_id), and bytes of the stretches it draws from their whole texts.
+SAMPLE_ROWS, STRETCH = 3000, 96
 STEPS, BATCH, RATE = 160, 128, 0.02
 #: Windows that are labelled side by side.
-ABREAST = 2048
+ABREAST = 1024
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str | None) -> bool:
+    """Whether a character of category L is in the text."""
+    return any(map(str.isalpha, text or ""))
 
 
 class BiGRU:
@@ -130,53 +135,75 @@ class BiGRU:
         return losses
 
 
-def windows(data: bytes, size: int = WINDOW) -> np.ndarray:
-    """The bytes in rows of size, the last filled up with zeros."""
-    n = -(-len(data) // size)
-    return np.frombuffer(data.ljust(n * size, b"\0"), np.uint8).reshape(n, size)
-
-
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, each: int = SAMPLE_WINDOWS) -> tuple[BiGRU, list[str]]:
-    """A network and its languages from docs (doc_id, text, lang): at most rows of them, each windows of a row.
-
-    Rows without text or lang are left out. The sample is that of the smallest hashes of doc_id, so it is the same in
-    any partitioning; windows lie at hashed places of the whole text.
+def windows(data: bytes, core: int = CORE, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """The text's windows in rows, filled up with zeros, and the first and last + 1 place of each one's own bytes."""
+    flat, n = np.frombuffer(data, np.uint8), len(data)
+    inner = (flat & 0xC0) != 0x80  # where a character begins
+    edges = [0]
+    while edges[-1] < n:
+        end = min(n, edges[-1] + core)
+        while end < n and not inner[end] and end > edges[-1] + 1:
+            end -= 1
+        edges.append(end)
+    at = np.array(edges[:-1], np.int64)
+    own = np.array(edges[1:], np.int64) - at
+    low = np.maximum(0, at - context)
+    while (cut := (low > 0) & ~inner[low]).any():
+        low = low + cut
+    places = low[:, None] + np.arange(core + 2 * context)
+    reach = np.minimum(n, at + own + context)[:, None]
+    rows = np.where(places < reach, flat[np.minimum(places, n - 1)], 0).astype(np.uint8)
+    return rows, np.stack([at - low, at - low + own], 1)
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[BiGRU, list[str]]:
+    """A network and its languages from docs (doc_id, text, lang), learned from at most rows of them.
+
+    Rows without text or lang are left out. The sample is that of the smallest hashes of doc_id, so it is the same in any
+    partitioning (rows that repeat an id count as one). All stretches of its texts are drawn with the same chance within a text.
     """
-    near = below(docs.filter("lang is not null").select("doc_id", "lang"), 3, rows)
-    limit = near.agg(F.max("_hash")).first()[0]
-    known = docs.filter("lang is not null and length(text) > 0").withColumn("_hash", F.xxhash64("doc_id", F.lit(3)))
-    known = known.filter(F.col("_hash") <= limit) if limit is not None else known
-    picked = known.select("_hash", "doc_id", "lang", *_places(each)).orderBy("_hash", "doc_id").limit(rows).collect()
+    known = docs.filter("lang is not null and length(text) > 0").select("doc_id", "lang", "text")
+    near = below(known.select("doc_id", "lang"), 3, rows).groupBy("_hash").agg(F.min("lang").alias("lang"))
+    picked = near.orderBy("_hash").limit(rows).collect()
     names = sorted({r["lang"] for r in picked})
     if not names:
         return BiGRU(1), []
-    pairs = [(windows(r[f"w{i}"].encode()[:WINDOW])[0], names.index(r["lang"])) for r in picked for i in range(each) if r[f"w{i}"]]
-    x, y = np.stack([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    # each draw is a row, by the chance of its class, and a place in its text; tasks return the drawn stretches alone
+    y = np.array([names.index(r["lang"]) for r in picked])
+    share = 1 / np.bincount(y)[y]
+    draw = np.random.default_rng(13)
+    pick = draw.choice(len(picked), STEPS * BATCH, p=share / share.sum())
+    drawn = [(picked[i]["_hash"], picked[i]["lang"], k, float(u)) for k, (i, u) in enumerate(zip(pick.tolist(), draw.random(len(pick)), strict=True))]
+    wanted = docs.sparkSession.createDataFrame(drawn, "_hash long, _lang string, _draw int, _place double")
+    free = F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1
+    stretch = F.substring(F.col("text"), F.floor(F.col("_place") * free).cast("int") + 1, F.lit(STRETCH))
+    hashed = known.withColumn("_hash", F.xxhash64("doc_id", F.lit(3))).filter(F.col("_hash") <= picked[-1]["_hash"])
+    met = hashed.join(F.broadcast(wanted), (hashed["_hash"] == wanted["_hash"]) & (F.col("lang") == F.col("_lang")))
+    found = {r["_draw"]: r["part"] for r in met.groupBy("_draw").agg(F.min(stretch).alias("part")).collect()}
+    order = sorted(found)
+    parts = [found[k].encode("utf-8", "replace")[:STRETCH].decode("utf-8", "ignore").encode().replace(b"\0", b" ") for k in order]
+    x = np.stack([np.frombuffer(p.ljust(STRETCH, b"\0"), np.uint8) for p in parts])
     net = BiGRU(len(names))
-    net.fit(x, y, x != 0)
+    net.fit(x, y[pick[order]], x != 0)
     return net, names
 
 
-def _places(each: int) -> list:
-    free = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
-    return [F.substring(F.col("text"), F.pmod(F.xxhash64("doc_id", F.lit(i)), free).cast("int") + 1, F.lit(WINDOW)).alias(f"w{i}") for i in range(each)]
-
-
 def document_probabilities(net: BiGRU, texts: list[str | None]) -> np.ndarray:
     """(documents, classes): the mean over all positions of each text; rows of zeros for empty ones."""
     classes = len(net.params["bias"])
     out = np.zeros((len(texts), classes))
-    pending: list[np.ndarray] = []
+    pending: list[tuple[np.ndarray, np.ndarray]] = []
     owner: list[np.ndarray] = []
     lengths = np.zeros(len(texts), np.int64)
+    places = np.arange(WIDTH)[:, None]
 
     def flush() -> None:
-        x, own = np.concatenate(pending), np.concatenate(owner)
+        x, own, who = np.concatenate([p[0] for p in pending]), np.concatenate([p[1] for p in pending]), np.concatenate(owner)
         for i in range(0, len(x), ABREAST):
-            part = np.ascontiguousarray(x[i : i + ABREAST].T)
+            part, edge = np.ascontiguousarray(x[i : i + ABREAST].T), own[i : i + ABREAST]
             p = net.positions(part)
-            p *= (part != 0)[:, None]
-            np.add.at(out, own[i : i + ABREAST], p.sum(0, dtype=np.float64).T)
+            p *= ((places >= edge[:, 0]) & (places < edge[:, 1]))[:, None]
+            np.add.at(out, who[i : i + ABREAST], p.sum(0, dtype=np.float64).T)
         pending.clear()
         owner.clear()
 
@@ -186,9 +213,10 @@ def document_probabilities(net: BiGRU, texts: list[str | None]) -> np.ndarray:
         lengths[k] = len(data)
         if data:
             pending.append(windows(data))
-            owner.append(np.full(len(pending[-1]), k))
-            waiting += len(pending[-1])
-            if waiting >= ABREAST * 8:
+            n = len(pending[-1][0])
+            owner.append(np.full(n, k))
+            waiting += n
+            if waiting >= ABREAST * 4:
                 flush()
                 waiting = 0
     if pending:
@@ -202,7 +230,7 @@ def predict(docs: DataFrame, net: BiGRU, names: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            usable = [t if t and names and _LETTER.search(t) else None for t in texts]
+            usable = [t if names and has_letter(t) else None for t in texts]
             p = document_probabilities(net, usable)
             best = p.argmax(1)
             found = [names[b] if t else UNKNOWN for t, b in zip(usable, best, strict=True)]
@@ -213,12 +241,13 @@ def predict(docs: DataFrame, net: BiGRU, names: list[str]) -> DataFrame:
 
 
 def position_labels(net: BiGRU, names: list[str], text: str) -> list[str]:
-    """The most likely language at every byte of one text."""
-    data = text.encode().replace(b"\0", b" ")
+    """The most likely language at every byte of one text; an empty text has none."""
+    data = text.encode("utf-8", "replace").replace(b"\0", b" ")
     if not data:
         return []
-    p = net.positions(np.ascontiguousarray(windows(data).T)).argmax(1)
-    return [names[k] for k in p.T.ravel()[: len(data)]]
+    rows, own = windows(data)
+    p = net.positions(np.ascontiguousarray(rows.T)).argmax(1).T
+    return [names[k] for row, (a, b) in zip(p, own.tolist(), strict=True) for k in row[a:b]]
 
 
 def held_out(part: int = 1, of: int = 3, id_col: str = "doc_id"):
@@ -238,14 +267,19 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """docs with all its columns, without the rows whose text is und or whose language has a lower pooled probability than
-    least. Rows are judged where they are read: nothing is shuffled."""
+    least. Rows are judged where they are read: nothing is shuffled.
+
+    Null and letterless texts go; where no row has a lang, nothing can be learned and every text with a letter stays;
+    repeated rows are judged one by one; an empty table gives none; extra columns are kept as they are.
+    """
     net, names = train(docs.filter(~held_out()))
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t if t and names and _LETTER.search(t) else None for t in batch.column(schema.names.index("text")).to_pylist()]
-            score = document_probabilities(net, texts).max(1)
-            yield batch.filter(pa.array([t is not None and s >= least for t, s in zip(texts, score, strict=True)], pa.bool_()))
+            texts = batch.column(schema.names.index("text")).to_pylist()
+            usable = [has_letter(t) for t in texts]
+            score = document_probabilities(net, [t if u else None for t, u in zip(texts, usable, strict=True)]).max(1)
+            yield batch.filter(pa.array([u and (not names or s >= least) for u, s in zip(usable, score.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, schema)

@@ -131,6 +131,25 @@ def _base() -> int:
     return (context.partitionId() if context else 0) << 32
 
 
+def counted_turns(conversations: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+    """example_id (conv_id), tokens, loss_tokens of whole conversations (conv_id, role, text): every turn's ids and an
+    end id; the turns of role assistant bear loss.
+
+    Null texts count as empty; rows that repeat a turn are turns of their own; turns without conv_id are one conversation;
+    an empty table gives none. Counts combine map-side, so a hot conversation makes no large group.
+    """
+    path = tokenizer or default_path()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [np.diff(at) for _, _, at in encoded(batch.column(0), batch.column(2), path)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(sizes) + 1 if sizes else [], pa.int64())], names=["example_id", "bears", "tokens"])
+
+    turns = conversations.select(F.col("conv_id").cast("long"), F.coalesce(F.col("role") == "assistant", F.lit(False)), F.col("text").cast("string"))
+    counted = turns.mapInArrow(run, "example_id long, bears boolean, tokens long")
+    return counted.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.sum(F.when(F.col("bears"), F.col("tokens")).otherwise(0)).alias("loss_tokens"))
+
+
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), cut: bool = False) -> DataFrame:
     """Pack rows (example_id, tokens, loss_tokens) of instruction data: example_id, start, length, sequence_id, offset.
 

@@ -24,14 +24,12 @@ def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive the pages, read the archive back and audit it against a second replica, in which records whose url's
-    SHA-256 starts with 00 are damaged (every e of their page is an f)."""
+    """Archive the pages twice, read both archives back and audit the first against the second, in which records whose url's
+    SHA-256 starts with 00 are damaged (every e of their page is an f). Files' names and places are left out."""
     pages = read(spark, sf_dir, "pages")
-    archive = warc.read(spark, warc.write(pages, shared_dir(spark)))
     html = F.when(F.sha2("url", 256).startswith("00"), F.translate("html", "e", "f")).otherwise(F.col("html"))
-    record = warc.rendered(F.col("page_id"), F.col("url"), html)
-    replica = pages.select("page_id", F.octet_length(record).alias("length"), F.sha2(record, 256).alias("sha256"))
-    return warc.audit(archive.select("page_id", "length", "sha256"), replica)
+    replicas = [warc.read(spark, warc.write(p, shared_dir(spark))).drop("uri", "body") for p in (pages, pages.withColumn("html", html))]
+    return warc.audit(*replicas).drop("file", "file_offset")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +48,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), end_id=1)
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations under limits on tokens, turns and loss-bearing tokens, which are those of assistant turns."""
+    turns = packing.counted_turns(read(spark, sf_dir, "conversations"))
+    return packing.pack_examples(turns, packing.Limits(2048, 16, 1024), cut=True)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
@@ -62,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOST_EPOCHS = 1.5
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_store, op2_topk, op3_url_templates, op4_warc_audit, op5_quality, op6_simhash, op7_language, op8_packing, op9_exact_dedup, op10_mixing
+    packed_conversations, op1_token_store, op2_topk, op3_url_templates, op4_warc_audit, op5_quality, op6_simhash, op7_language, op8_packing, op9_exact_dedup, op10_mixing
 )}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,14 +82,14 @@ SQL = {
     "op4_warc_audit": r"""
         WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, starts_with(sha256(url), '00') AND contains(html, 'e') AS damaged FROM pages),
              r AS (SELECT page_id, page_id // 512 AS segment, damaged, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id
-                          || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+                          || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
                           || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10) || html AS record FROM p),
-             l AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY page_id) - 1 AS ordinal, octet_length(encode(record)) AS record_length, sha256(record) AS record_sha256 FROM r),
-             n1 AS (SELECT segment, ordinal // 8 AS node, sha256(string_agg(record_sha256, '' ORDER BY ordinal)) AS h FROM l GROUP BY ALL),
+             m AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY page_id) - 1 AS ordinal, octet_length(encode(record)) AS record_length, sha256(record) AS record_sha256 FROM r),
+             l AS (SELECT *, coalesce(sum(record_length + 4) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM m),
+             n1 AS (SELECT segment, ordinal // 8 AS node, sha256(string_agg(sha256(record_sha256 || ':' || record_offset || ':' || record_length), '' ORDER BY ordinal)) AS h FROM l GROUP BY ALL),
              n2 AS (SELECT segment, node // 8 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM (SELECT segment, node, h FROM n1) GROUP BY segment, node // 8),
              n3 AS (SELECT segment, sha256(string_agg(h, '' ORDER BY node)) AS segment_root FROM n2 GROUP BY segment)
-        SELECT segment, ordinal, page_id, coalesce(sum(record_length + 4) OVER (PARTITION BY segment ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
-               record_length, record_sha256, CASE WHEN damaged THEN 'corrupt' ELSE 'intact' END AS status, segment_root
+        SELECT segment, ordinal, page_id, record_offset, record_length, record_sha256, CASE WHEN damaged THEN 'corrupt' ELSE 'intact' END AS status, segment_root
         FROM l JOIN n3 USING (segment)""",
     "op10_mixing": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+', 0))::BIGINT AS tokens FROM documents),

@@ -14,7 +14,7 @@ HEAVY_SHARE, HEAVY_ROWS = 1024, 100_000
 #: Keys with at most this many rows are never heavy (small tables would otherwise call every key heavy).
 HEAVY_FLOOR = 64
 #: Rows of a few columns that are broadcast at most; a larger side is left to Spark's own choice of a join.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,7 +47,9 @@ def materialize(df: DataFrame, *by: str) -> DataFrame:
     of few values, each of which gets a folder that is read alone."""
     path = shared_dir(df.sparkSession)
     df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -58,10 +60,25 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in written:
+        spark, path = df.sparkSession, df._written
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs, written once with a unique number of each row, and that column's name: rows that repeat an id stay apart in later joins."""
+    """docs with a unique key of each row, and that column's name: rows that repeat an id stay apart in later joins.
+
+    The key is a row's file and place in it, which doesn't change from scan to scan; anything but a table of files is
+    written first.
+    """
     key = fresh(docs, "_row_key")
-    return materialize(docs.withColumn(key, F.monotonically_increasing_id())), key
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
+        docs = materialize(docs)
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.withColumn(key, place), key
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, bounded, heavy_keys, materialize
+from tessella.llm.common import HEAVY_FLOOR, HEAVY_SHARE, ascii_lower, bounded, heavy_keys, materialize, numbered
 
 #: Characters of a text that a splitter holds; ties are split by hash.
 BEGIN = 32
@@ -73,9 +73,13 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, keep: str, carried: Col
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
-    """docs with all its columns: of the rows with equal texts one stays, also where rows repeat an id or have none."""
-    every = F.struct(*(docs[c] for c in docs.columns))
-    return _ranked(docs, id_col, text_col, keep, every).filter("kept").select("_carried.*")
+    """docs with all its columns: of the rows with equal texts one stays, also where rows repeat an id or have none.
+
+    Only normalised texts are sorted; the dropped rows' keys then go to where the rows are, if they are few.
+    """
+    rows, key = numbered(docs)
+    gone = _ranked(rows, id_col, text_col, keep, F.col(key)).filter(~F.col("kept")).select(F.col("_carried").alias(key))
+    return rows.join(bounded(materialize(gone)), key, "left_anti").drop(key)
 
 
 __all__ = ["HEAVY_FLOOR", "HEAVY_SHARE", "drop_exact_copies", "exact_groups"]

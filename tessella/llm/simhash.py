@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import heavy_counts, heavy_keys, materialize, skew_join
+from tessella.llm.common import discard, heavy_counts, heavy_keys, materialize, skew_join
 
 SEED = 42
 SEGMENTS = (13, 13, 13, 13, 12)
@@ -177,7 +177,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooked = materialize(hooked)
         jumped = hooked.join(hooked.select(F.col("node").alias("r"), F.col("r").alias("rr")), "r").select("node", F.least("r", "rr").alias("root"))
         after = materialize(jumped)
-        if after.join(state, ["node", "root"], "left_anti").isEmpty():
+        settled = after.join(state, ["node", "root"], "left_anti").isEmpty()
+        discard(hooked, state)
+        if settled:
+            discard(both)
             return after
         state = after
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")

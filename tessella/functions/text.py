@@ -41,6 +41,64 @@ def stem_ru(word: Column, endings: list[str] = ENDINGS) -> Column:
     return F.when(word.rlike("^[а-яё]{4,}$"), out).otherwise(word)
 
 
+#: Endings of the light stemmer in the order in which they are tried.
+LIGHT_ENDINGS = (
+    "иями ям ыми ейший ейшая ейшее ейшие ейших ого его ому ему ыми ими ых их ою ею ая яя ое ее ые ие ым им ом ем ах ях ов ев ей ам ям ит ет ут ют ат ят ти а ев ов е и й о у ы ь я ю ию"
+).split()
+
+
+def light_stem(word: Column) -> Column:
+    """A Cyrillic word of at least four letters without the first of LIGHT_ENDINGS whose removal leaves four."""
+    return stem_ru(word, LIGHT_ENDINGS)
+
+
+def saturated_integer(text: Column) -> Column:
+    """A whole number with an optional sign and single low lines between digits, held within 64 bits; null for anything else."""
+    plain = F.trim(text)
+    digits = F.regexp_replace(F.regexp_replace(plain, "[^0-9]", ""), "^0+", "")
+    over = (F.length(digits) > 19) | (digits.try_cast("decimal(20,0)") > F.lit(9223372036854775807))
+    size = F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
+    minus = plain.startswith("-")
+    value = F.when(over & minus, F.lit(-9223372036854775808)).when(over, F.lit(9223372036854775807)).when(minus, -size.try_cast("long")).otherwise(size.try_cast("long"))
+    return F.when(plain.rlike("^[+-]?[0-9]+(_[0-9]+)*$"), value)
+
+
+#: Spellings of units.
+UNITS = {
+    "шт": "шт", "шт.": "шт", "штук": "шт", "штука": "шт", "штуки": "шт",
+    "компл": "компл", "компл.": "компл", "к-т": "компл", "комплект": "компл", "комплектов": "компл",
+    "м": "м", "м.": "м", "метр": "м", "метров": "м",
+    "пог.м": "пог.м", "п.м": "пог.м", "п.м.": "пог.м", "пог. м": "пог.м", "пм": "пог.м",
+    "м2": "м²", "м²": "м²", "кв.м": "м²", "кв. м": "м²", "кв.м.": "м²",
+    "м3": "м³", "м³": "м³", "куб.м": "м³", "куб. м": "м³", "куб.м.": "м³",
+    "кг": "кг", "кг.": "кг",
+    "т": "т", "т.": "т", "тн": "т", "тонн": "т",
+    "л": "л", "л.": "л", "литр": "л", "литров": "л",
+}
+
+
+def normalized_unit(unit: Column) -> Column:
+    """A unit's usual spelling; unknown ones trimmed and lower-cased, null as ''."""
+    plain = F.replace(F.lower(F.trim(F.coalesce(unit, F.lit("")))), F.lit("ё"), F.lit("е"))
+    known = F.create_map(*(F.lit(x) for pair in UNITS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, plain), plain)
+
+
+def normalized_name(name: Column) -> Column:
+    """White space as single blanks, case folded."""
+    return casefold(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
+def stretches(text: Column, most: int) -> Column:
+    """All distinct stretches of 0 to most characters of a text."""
+    def of(n: int) -> Column:
+        last = F.length(text) - n + 1
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+        return F.when(last > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(F.array(F.lit("")), *map(of, range(1, most + 1)))
+
+
 def sanitize(text: Column) -> Column:
     """Without data URIs of 128 and more and base64 runs of 256 and more characters, control characters as blanks, at most
     two blanks and three line ends in a row."""

@@ -21,7 +21,7 @@ def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         end = min(start + size, len(text))
         if end < len(text):
             at = max(text.rfind("\n", start, end), text.rfind(". ", start, end))
-            end = at + 1 if at > start + size // 2 else end
+            end = at + (1 if text[at] == "\n" else 2) if at > start + size // 2 else end
         yield start, end
         if end >= len(text):
             return
@@ -29,13 +29,20 @@ def windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
 
 
 def chunk_pages(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """doc_id, ord, start, chunk of every text; null and empty texts give no rows."""
+    """doc_id, ord, start, chunk of every text, trimmed like the text itself; null and blank texts give no rows."""
     if not 0 <= overlap < size:
         raise ValueError("overlap is at least 0 and less than size")
 
+    def cut(text: str | None) -> Iterator[tuple[int, str]]:
+        plain = (text or "").strip()
+        first = len(text or "") - len((text or "").lstrip())
+        for a, b in windows(plain, size, overlap):
+            if chunk := plain[a:b].strip():
+                yield first + a + len(plain[a:b]) - len(plain[a:b].lstrip()), chunk
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, k, a, t[a:b]) for d, t in zip(frame["doc_id"], frame["text"], strict=True) if t for k, (a, b) in enumerate(windows(t, size, overlap))]
+            rows = [(d, k, a, chunk) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for k, (a, chunk) in enumerate(cut(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "ord", "start", "chunk"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ord int, start long, chunk string")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import fusion, lexical, vectors
-from tessella.plans.base import query, table
+from tessella.operators import fusion, lexical, postings, vectors
+from tessella.plans.base import query, shared, table
 
 TERMS = ["the", "of", "our"]
 
@@ -17,6 +17,28 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "chunk"))
 
 
+_STORES: dict[tuple, str] = {}
+
+
+def store(spark: SparkSession, d: str) -> str:
+    """The postings of the documents below d, built once in a session and searched by every query of it."""
+    docs = table(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *docs.inputFiles())
+    if key not in _STORES:
+        _STORES[key] = postings.build(docs, shared(spark))
+    return _STORES[key]
+
+
+def scored(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:
+    """doc_id, source, lang, score of the documents that hold a term."""
+    best = postings.scores(spark, store(spark, d), terms).withColumnRenamed("doc", "doc_id")
+    return best.join(table(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+
+
+def ranked(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.orderBy(F.col("score").desc(), "doc_id").limit(limit)
+
+
 NORM = "replace(replace(lower(translate({0}, '‐‑−', '---')), 'ß', 'ss'), 'ё', 'е')"
 TOK = "regexp_extract_all(" + NORM + ", '[0-9a-zа-яёı]+(?:[._/-][0-9a-zа-яёı]+)*', 0)"
 CHUNKS = "(SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS chunk, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER - 1 AS ord FROM documents)"
@@ -33,18 +55,20 @@ def bm25_sql(where: str = "TRUE", terms=TERMS) -> str:
 
 @query(f"WITH {bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    return lexical.search(table(spark, d, "documents"), TERMS, 20).withColumn("score", F.round("score", 6))
+    return postings.search(spark, store(spark, d), TERMS, 20).select(F.col("doc").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql("source IN ('src1', 'src2', 'src3') AND lang = 'en'")} SELECT doc_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, doc_id LIMIT 20")
 def bm25_filtered(spark, d):
     keep = F.col("source").isin("src1", "src2", "src3") & (F.col("lang") == "en")
-    return lexical.search(table(spark, d, "documents"), TERMS, 20, keep).withColumn("score", F.round("score", 6))
+    return ranked(scored(spark, d, TERMS).filter(keep), 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql()}, g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS nth FROM b) SELECT doc_id, source, round(score, 6) AS score FROM g WHERE nth <= 2 ORDER BY g.score DESC, doc_id LIMIT 20")
 def bm25_grouped(spark, d):
-    return lexical.search_grouped(table(spark, d, "documents"), TERMS, "source", 2, 20).withColumn("score", F.round("score", 6))
+    order = Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id")
+    best = scored(spark, d, TERMS).withColumn("_nth", F.row_number().over(order)).filter("_nth <= 2")
+    return ranked(best, 20).select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT doc_id AS doc, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY ALL")
@@ -107,7 +131,7 @@ def cosine_pairs(spark, d):
 
 def channels(spark, d, limit=50) -> DataFrame:
     """Two channels: lexical (0) over documents and dense (1) over embeddings whose vec_id is a doc_id."""
-    words = lexical.search(table(spark, d, "documents"), TERMS, limit).select(F.lit(0).alias("channel"), F.col("doc_id").alias("id"), "score")
+    words = postings.search(spark, store(spark, d), TERMS, limit).select(F.lit(0).alias("channel"), F.col("doc").alias("id"), "score")
     e = table(spark, d, "embeddings")
     dense = vectors.neighbours(e, vectors.query_vector(e, 0), limit).select(F.lit(1).alias("channel"), F.col("vec_id").alias("id"), "score")
     rank = F.row_number().over(Window.partitionBy("channel").orderBy(F.col("score").desc(), "id")) - 1
@@ -214,7 +238,7 @@ def dedup_candidates(spark, d):
   SELECT doc_id, source, pos::INTEGER AS pos, (dense_rank() OVER (ORDER BY top DESC, source))::INTEGER AS source_rank FROM r JOIN g USING (source) WHERE pos <= 3""")
 def context_round_robin(spark, d):
     """Documents of every source in turn: position within the source, then the source's rank by its best document."""
-    b = lexical.scored(table(spark, d, "documents"), TERMS)
+    b = scored(spark, d, TERMS)
     best = b.withColumn("pos", F.row_number().over(Window.partitionBy("source").orderBy(F.col("score").desc(), "doc_id"))).filter("pos <= 3")
     ranks = best.groupBy("source").agg(F.max("score").alias("top")).withColumn("source_rank", F.dense_rank().over(Window.orderBy(F.col("top").desc(), "source")))
     return best.join(ranks, "source").select("doc_id", "source", "pos", "source_rank")
@@ -249,14 +273,19 @@ def summary_batch(spark, d):
 
 @query("""SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def anchor_recall(spark, d):
-    """Benchmark passages of six words or more that documents hold verbatim. A passage's second to fifth words, which are
-    whole words wherever it stands, are looked up by hash; the text is then compared whole."""
+    """Benchmark passages that documents hold verbatim. A passage's second to fifth words, which are whole words wherever it
+    stands, are looked up by hash; passages of fewer than six words by their first three characters. The text is then
+    compared whole."""
     grams = lambda words: F.transform(F.sequence(F.lit(1), F.size(words) - 3), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(4)), " ")))
     words = F.split("text", " ")
-    b = table(spark, d, "benchmark").withColumn("w", words).filter("size(w) >= 6").select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("key"))
+    b = table(spark, d, "benchmark").withColumn("w", words)
+    long = b.filter("size(w) >= 6").select("item_id", F.col("text").alias("passage"), F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("key"))
     docs = table(spark, d, "documents")
     keys = docs.withColumn("w", words).filter("size(w) >= 6").select("doc_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("key"))
-    pairs = keys.join(b, "key").select("doc_id", "item_id", "passage")
+    pairs = keys.join(long, "key").select("doc_id", "item_id", "passage")
+    short = b.filter("size(w) < 6").select("item_id", F.col("text").alias("passage"), F.substring("text", 1, 3).alias("key"))
+    if not short.isEmpty():
+        pairs = pairs.union(docs.select("doc_id", F.explode(X.stretches(F.col("text"), 3)).alias("key")).join(short, "key").select("doc_id", "item_id", "passage"))
     return pairs.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "passage")).select("item_id", "doc_id").distinct()
 
 
@@ -264,7 +293,7 @@ def anchor_recall(spark, d):
   SELECT k, round(sum(CASE WHEN g.doc_id IS NOT NULL AND rank <= k THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS dcg, min(CASE WHEN g.doc_id IS NOT NULL AND rank <= k THEN rank END) AS first_hit FROM r LEFT JOIN g USING (doc_id), (VALUES (5), (10), (50)) AS ks(k) GROUP BY k""".replace("log2(rank + 1)", "(ln(rank + 1) / ln(2))"))
 def ndcg(spark, d):
     """Discounted gain and first hit of a ranking at several depths; only the deepest one's head is ranked globally."""
-    top = lexical.search(table(spark, d, "documents"), TERMS, 50)
+    top = postings.search(spark, store(spark, d), TERMS, 50).withColumnRenamed("doc", "doc_id")
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")))
     good = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.lit(True).alias("good"))
     hits = ranked.join(good, "doc_id", "left").withColumn("k", F.explode(F.array(F.lit(5), F.lit(10), F.lit(50))))
@@ -281,7 +310,7 @@ def numeric_provenance(spark, d):
 @query(f"""WITH {bm25_sql()}, g AS (SELECT source, max(score) AS top FROM b GROUP BY source), m AS (SELECT max(top) AS most FROM g) SELECT doc_id, b.source, round(score, 6) AS score FROM b JOIN (SELECT source FROM g, m WHERE top >= 0.8 * most ORDER BY top DESC, source LIMIT 2) s ON b.source = s.source""")
 def concentrate_sources(spark, d):
     """Documents of at most two sources, those whose best score is at least 0.8 of the best."""
-    b = lexical.scored(table(spark, d, "documents"), TERMS).select("doc_id", "source", "score")
+    b = scored(spark, d, TERMS).select("doc_id", "source", "score")
     tops = b.groupBy("source").agg(F.max("score").alias("top"))
     heads = tops.orderBy(F.col("top").desc(), "source").limit(2)
     best = heads.agg(F.max("top").alias("most"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tessella.plans import catalog, corpus, relational, retrieval, storage  # noqa: F401
+from tessella.plans import catalog, corpus, evaluation, relational, retrieval, storage  # noqa: F401
 from tessella.plans.base import QUERIES, SQL  # noqa: F401

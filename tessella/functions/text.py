@@ -89,6 +89,24 @@ def normalized_name(name: Column) -> Column:
     return casefold(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
+def without_breaks(text: Column) -> Column:
+    """HTML line breaks as blanks, with the emphasis marks that they leave empty; texts without any stay as they are."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?i)<br\s*/?>", " "), r"\*\*\s*\*\*", " ")
+    return F.when(F.lower(text).contains("<br"), F.regexp_replace(plain, r"[ \t]{2,}", " ")).otherwise(text)
+
+
+def plain_markdown(text: Column) -> Column:
+    """Markdown without embedded images, anchors, link targets and escapes, blanks at line ends and over three line ends, trimmed."""
+    for pattern, put in ((r"!\[\]\(data:image/[^)]*\)", ""), (r"<a\s+id=\"[^\"]+\"></a>", ""), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"\\([.()\\\-\[\]])", "$1"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n"), (r"^\s+|\s+$", "")):
+        text = F.regexp_replace(text, pattern, put)
+    return text
+
+
+def document_number(name: Column) -> Column:
+    """The number of a standard that a file's name holds (СП, ГОСТ, ГОСТ Р or СНиП with dotted digits); null without."""
+    return F.nullif(F.regexp_extract(name, r"(?iu)(?:^|[^0-9a-zа-яё_])(?:СП|ГОСТ\s*Р?|СНиП)\s*([0-9]+(?:\.[0-9]+)+)", 1), F.lit(""))
+
+
 def stretches(text: Column, most: int) -> Column:
     """All distinct stretches of 0 to most characters of a text."""
     def of(n: int) -> Column:

@@ -254,3 +254,42 @@ def element_context(spark, d):
     found = rows.join(latest.withColumnRenamed("element", "key"), "key", "left").join(ways.withColumnRenamed("element", "key"), "key", "left")
     zero = F.lit(0).cast("long")
     return found.select("element", "name", F.date_format("latest", "yyyy-MM-dd").alias("latest"), F.coalesce("imports", zero).alias("imports"), F.coalesce("outgoing", zero).alias("outgoing"), F.coalesce("incoming", zero).alias("incoming"))
+
+
+_PATTERNS = ((r"!\[\]\(data:image/[^)]*\)", ""), (r"<a\s+id=\"[^\"]+\"></a>", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"\\([.()\\\-\[\]])", r"\1"), (r"[ \t]+\n", "\n"), (r"\n{4,}", "\n\n\n"), (r"^\s+|\s+$", ""))
+_MARKED = "replace(replace(text, '. ', '.<br/>**<BR >** '), 'the ', '[the](x.y)\\.  <a id=\"k\"></a>')"
+
+
+def _plain_sql(text: str) -> str:
+    for pattern, put in _PATTERNS:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+@query(rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(t, '(?i)<br\s*/?>', ' ', 'g'), '\*\*\s*\*\*', ' ', 'g'), '[ \t]{{2,}}', ' ', 'g')) AS unbroken, md5({_plain_sql("t")}) AS plain FROM (SELECT doc_id, {_MARKED} AS t FROM documents WHERE contains(text, '. '))""")
+def clean_passages(spark, d):
+    """Passages that are marked up with line breaks, links, anchors and escapes, cleaned in both ways."""
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit(".<br/>**<BR >** ")), F.lit("the "), F.lit('[the](x.y)\\.  <a id="k"></a>'))
+    rows = table(spark, d, "documents").filter(F.contains("text", F.lit(". "))).select("doc_id", marked.alias("t"))
+    return rows.select("doc_id", F.md5(X.without_breaks(F.col("t"))).alias("unbroken"), F.md5(X.plain_markdown(F.col("t"))).alias("plain"))
+
+
+@query("""SELECT p_partkey, nullif(CASE p_partkey % 5 WHEN 0 THEN p_size || '.' || p_partkey || '.2016' WHEN 1 THEN p_partkey || '.' || p_size WHEN 2 THEN p_size || '.1' ELSE '' END, '') AS number FROM part""")
+def document_numbers(spark, d):
+    """Numbers of standards in file names of five forms, of which two hold none."""
+    n, k = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    form = F.col("p_partkey") % 5
+    name = F.when(form == 0, F.concat(F.lit("Файл СП "), n, F.lit("."), k, F.lit(".2016 ред.pdf"))).when(form == 1, F.concat(F.lit("гост р "), k, F.lit("."), n, F.lit("-х"))).when(form == 2, F.concat(F.lit("СНиП"), n, F.lit(".1_a")))
+    name = name.when(form == 3, F.concat(F.lit("СП "), n)).otherwise(F.concat(F.lit("КСП 1."), n))
+    return table(spark, d, "part").select("p_partkey", X.document_number(name).alias("number"))
+
+
+@query("""WITH s AS (SELECT label, e.vec_id % 5 AS file, e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.v), 9) AS score FROM embeddings e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) q),
+  g AS (SELECT *, row_number() OVER (PARTITION BY label, file ORDER BY score DESC, vec_id) AS nth FROM s) SELECT label, file, vec_id, round(score, 6) AS score FROM g WHERE nth <= 2""")
+def dense_by_dataset(spark, d):
+    """One search of a question in every dataset, with two hits of each of its files."""
+    e = table(spark, d, "embeddings")
+    score = F.round(vectors.cosine(F.col("embedding"), F.array(*map(F.lit, vectors.query_vector(e, 0)))), 9)
+    rows = e.select("label", (F.col("vec_id") % 5).alias("file"), "vec_id", score.alias("score"))
+    nth = F.row_number().over(Window.partitionBy("label", "file").orderBy(F.desc("score"), "vec_id"))
+    return rows.withColumn("nth", nth).filter("nth <= 2").select("label", "file", "vec_id", F.round("score", 6).alias("score"))

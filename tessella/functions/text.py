@@ -221,3 +221,19 @@ def binary_garbage(text: Column) -> Column:
     head = F.replace(F.substring(text, 1, 200), F.lit("\n"), F.lit(""))
     opaque = (F.length(head) > 80) & ~head.rlike("[\u0400-\u04ff]") & (F.regexp_count(head, F.lit(" ")) < 3)
     return F.coalesce((F.length(text) >= 40) & (dense | opaque), F.lit(False))
+
+
+def sheet_rows(question: Column) -> Column:
+    """The first sheet that a question names (struct sheet, rows) with its rows after it, in order; rows are null if one of
+    them can't be a sheet's, if a range runs backwards or over 32 rows, or without any."""
+    sheet = r"(?iu)\b(?:лист(?:е|а|у|ом)?|(?:work)?sheet)\s+(?:\"([^\"\r\n]{1,31})\"|'([^'\r\n]{1,31})'|«([^»\r\n]{1,31})»|([\p{L}\p{N}_-]{1,31})\b)"
+    name = F.concat(*(F.regexp_extract(question, sheet, k) for k in range(1, 5)))
+    rest = F.regexp_extract(question, sheet + r"([^.?!;]*)", 5)
+    one = r"[0-9]+(?:\s*[-–—:]\s*[0-9]+)?"
+    lists = F.regexp_extract_all(rest, F.lit(rf"(?iu)\b(?:строк(?:а|и|у|е|ой|ах|ам|ами)?|rows?)\s*(?:№\s*)?({one}(?:\s*(?:,|\bи\b|\band\b)\s*{one})*)"), F.lit(1))
+    ranges = F.flatten(F.transform(lists, lambda a: F.regexp_extract_all(a, F.lit(one), F.lit(0))))
+    ends = F.transform(ranges, lambda r: F.transform(F.split(r, r"\s*[-–—:]\s*"), lambda n: n.try_cast("long")))
+    span = F.transform(ends, lambda e: F.struct(e[0].alias("a"), F.element_at(e, -1).alias("b")))
+    fits = F.forall(span, lambda s: F.coalesce(s["a"].between(1, 1048576) & s["b"].between(s["a"], F.least(s["a"] + 31, F.lit(1048576))), F.lit(False)))
+    rows = F.array_sort(F.array_distinct(F.flatten(F.transform(span, lambda s: F.sequence(s["a"], s["b"])))))
+    return F.struct(F.nullif(name, F.lit("")).alias("sheet"), F.when((F.size(span) > 0) & fits, rows).alias("rows"))

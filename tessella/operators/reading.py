@@ -231,3 +231,56 @@ def packed_context(units: DataFrame, question: str, budget: int, least: int = 80
 
     whole = units.groupBy(question).agg(F.aggregate(items, empty, add).alias("p"))
     return whole.select(question, F.explode("p.taken").alias("t")).select(question, "t.position", "t.unit", "t.took")
+
+
+def pack_sections(objects: DataFrame, question: str, budget: int) -> DataFrame:
+    """Sections of a context within a budget of tokens, a separator of one token before every object but the first.
+
+    objects: question, kind (its place in the order of sections), required, position, id, tokens (1 or more), fallback (array
+    of the tokens of smaller blocks, may be null). All required ones are taken first; if they don't fit they are returned
+    alone, with overflow true. Others are taken in order as far as they fit, else those of their blocks that fit. Returns
+    taken parts (part 0 is the whole, 1 is the first block) and, with part null, what was left out whole. A question's
+    objects are a search's limit.
+    """
+    step = "struct<optional:boolean,kind:int,position:int,id:string,part:int,tokens:long>"
+    blocks = F.concat(F.array("tokens"), F.coalesce("fallback", F.array().cast("array<bigint>")))
+    steps = objects.select(question, (~F.col("required")).alias("optional"), "kind", "position", "id", F.posexplode(blocks).alias("part", "tokens"))
+    steps = steps.filter(F.col("optional") | (F.col("part") == 0))
+    items = F.array_sort(F.collect_list(F.struct("optional", "kind", "position", "id", "part", "tokens").cast(step)))
+    empty = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("refused"), F.array().cast(f"array<{step}>").alias("taken"))
+
+    def add(state: Column, x: Column) -> Column:
+        cost = x["tokens"] + F.when(state["used"] > 0, 1).otherwise(0)
+        whole = x["part"] == 0
+        fits = ~x["optional"] | ((whole | state["refused"]) & (state["used"] + cost <= budget))
+        refused = F.when(whole, ~fits).otherwise(state["refused"])
+        return F.struct((state["used"] + F.when(fits, cost).otherwise(0)).alias("used"), refused.alias("refused"), F.when(fits, F.concat(state["taken"], F.array(x))).otherwise(state["taken"]).alias("taken"))
+
+    must = F.aggregate(F.filter("items", lambda x: ~x["optional"]), F.lit(-1).cast("long"), lambda n, x: n + x["tokens"] + 1)
+    packed = steps.groupBy(question).agg(items.alias("items")).withColumn("overflow", must > budget)
+    packed = packed.withColumn("taken", F.when(F.col("overflow"), F.filter("items", lambda x: ~x["optional"])).otherwise(F.aggregate("items", empty, add)["taken"]))
+    held = F.transform("taken", lambda x: x["id"])
+    left = F.filter("items", lambda x: ~F.col("overflow") & (x["part"] == 0) & ~F.array_contains(held, x["id"]))
+    none = F.transform(left, lambda x: F.struct(x["optional"], x["kind"], x["position"], x["id"], F.lit(None).cast("int").alias("part"), F.lit(0).cast("long").alias("tokens")).cast(step))
+    rows = packed.select(question, "overflow", F.explode(F.concat("taken", none)).alias("t"))
+    return rows.select(question, "overflow", "t.kind", "t.id", "t.part", "t.tokens")
+
+
+def topic_plan(topics: DataFrame, sections: DataFrame, files: DataFrame, scope: str, most_topics: int = 2, most_files: int = 10, most_sections: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Files and sections to read for each scope's best topics, as (sections, files), each once and in order of first sight.
+
+    topics: scope, topic, score; sections: scope, topic, position, file, heading; files: scope, topic, position, file. A
+    topic's sections come before its files, and name files also beyond the sections' own limit.
+    """
+    best = Window.partitionBy(scope).orderBy(F.desc("score"), "topic")
+    chosen = topics.withColumn("_t", F.row_number().over(best)).filter(F.col("_t") <= most_topics).select(scope, "topic", "_t")
+
+    def first(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+        once = rows.groupBy(scope, *keys).agg(F.min(F.struct("_t", "_leg", "position", "topic")).alias("_at"))
+        nth = F.row_number().over(Window.partitionBy(scope).orderBy("_at", *keys))
+        return once.withColumn("nth", nth).filter(F.col("nth") <= most).select(scope, "nth", *keys, F.col("_at.topic").alias("topic"), F.col("_at._leg").alias("leg"))
+
+    named = sections.join(chosen, [scope, "topic"]).withColumn("_leg", F.lit(0))
+    held = files.join(chosen, [scope, "topic"]).withColumn("_leg", F.lit(1))
+    columns = [scope, "topic", "_t", "_leg", "position", "file"]
+    return first(named, ["file", "heading"], most_sections), first(named.select(columns).union(held.select(columns)), ["file"], most_files)

@@ -74,11 +74,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     The key is a row's file and place in it, which doesn't change from scan to scan; anything but a table of files is
     written first.
     """
-    key = fresh(docs, "_row_key")
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or "_metadata" in docs.columns:
-        docs = materialize(docs)
+    key, clash = fresh(docs, "_row_key"), {c: fresh(docs, f"{c}_") for c in docs.columns if c.lower() == "_metadata"}
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation" or clash:
+        docs = materialize(docs.withColumnsRenamed(clash))
     place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    return docs.withColumn(key, place), key
+    return docs.withColumn(key, place).withColumnsRenamed({new: old for old, new in clash.items()}), key
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import exact_dedup, language, mixing, packing, quality, simhash, token_store, topk, url_templates, warc
+from tessella.llm import decontaminate, exact_dedup, fim, importance, language, mixing, packing, quality, simhash, token_store, topk, url_templates, warc
 from tessella.llm.common import read, shared_dir
 
 
@@ -62,13 +62,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), repetition=MOST_EPOCHS)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("words", "items")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(read(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(fim.restored(F.col("output"), F.col("form")), 256)}
+    return found.withColumns(digests).drop("output")
+
+
 #: Epochs of any source at most, in the mixing query and the pipeline.
 MOST_EPOCHS = 1.5
 
 QUERIES = {f.__name__: f for f in (
-    packed_conversations, op1_token_store, op2_topk, op3_url_templates, op4_warc_audit, op5_quality, op6_simhash, op7_language, op8_packing, op9_exact_dedup, op10_mixing
+    packed_conversations, op1_token_store, op2_topk, op3_url_templates, op4_warc_audit, op5_quality, op6_simhash, op7_language, op8_packing, op9_exact_dedup, op10_mixing,
+    op11_importance, op12_decontamination, op13_fill_in_middle,
 )}
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -107,4 +123,40 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS norm FROM documents)""",
+    "op11_importance": rf"""
+        WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+             d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+             u AS (SELECT row, unnest(w) AS word FROM d),
+             b AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+             k AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+                                                lambda c, x: xor(c // 256, t.t[xor(c % 256, x) + 1])), 4294967295) % 10000 AS bucket
+                   FROM (SELECT word FROM u UNION SELECT word FROM b), t),
+             s AS (SELECT bucket, count(*) AS s FROM u JOIN k USING (word) GROUP BY bucket), g AS (SELECT bucket, count(*) AS t FROM b JOIN k USING (word) GROUP BY bucket),
+             n AS (SELECT (SELECT count(*) FROM u)::DOUBLE AS s_all, (SELECT count(*) FROM b)::DOUBLE AS t_all),
+             a AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((s + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain FROM s LEFT JOIN g USING (bucket), n),
+             w AS (SELECT row, count(*) AS n, sum(gain)::BIGINT AS weight FROM u JOIN k USING (word) JOIN a USING (bucket) GROUP BY row),
+             x AS (SELECT d.row, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN w USING (row)),
+             y AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+             r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM y LEFT JOIN r USING (row)""",
+    "op12_decontamination": rf"""
+        WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+             g AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 10 THEN [w] ELSE list_transform(range(len(w) - 9), lambda i: w[i + 1 : i + 10]) END) AS gram FROM b WHERE len(w) > 0),
+             d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+             m AS (SELECT DISTINCT len(gram) AS m FROM g),
+             p AS (SELECT row, i, m, w[i + 1 : i + m] AS gram FROM (SELECT row, w, m, unnest(range(len(w) - m + 1)) AS i FROM d, m WHERE len(w) >= m)),
+             h AS (SELECT row, i, m, item_id FROM p JOIN g USING (gram)),
+             c AS (SELECT row, count(DISTINCT x) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS x FROM h) GROUP BY row),
+             o AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY row)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN c USING (row) LEFT JOIN o USING (row)""",
+    "op13_fill_in_middle": r"""
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+             d AS (SELECT doc_id, text, w, len(w)::BIGINT AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i::INTEGER, 8))::BIGINT) AS h FROM h),
+             c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+             t AS (SELECT *, array_to_string(w[1 : a], '') AS prefix, array_to_string(w[a + 1 : b], '') AS middle, array_to_string(w[b + 1 : n], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+        FROM t""",
 }

@@ -95,11 +95,14 @@ def _digest(*parts):
 def mix(docs: DataFrame, repetition: float | None = None, entropy: float | None = None, budget: float | None = None, seed: str = SEED) -> DataFrame:
     """One row per reading of a document (doc_id, text, source): doc_id, source, epoch, block, position, tokens, weight.
 
-    Null ids hash as ''; rows that repeat an id are read alike; ties in a permutation go by doc_id; an empty table gives
-    no rows; other columns are ignored. A document of a partial epoch is read while the tokens before it and half its own
+    Rows without id are dealt by their place in the table; rows that repeat an id are dealt alike, so that an id of a large part of
+    the rows makes a large block, which is sorted on disk; ties in a permutation go by doc_id, then place; an empty table gives no
+    rows; other columns are ignored. A document of a partial epoch is read while the tokens before it and half its own
     fit the block's budget.
     """
-    return _readings(counted(docs), repetition, entropy, budget, seed).select("doc_id", "source", "epoch", "block", "position", "tokens", "weight")
+    rows, key = numbered(docs)
+    own = rows.select(F.col(key).alias("_row_key"), "doc_id", "source", "text")
+    return _readings(counted(own, "_row_key"), repetition, entropy, budget, seed, "_row_key").select("doc_id", "source", "epoch", "block", "position", "tokens", "weight")
 
 
 def _readings(counts: DataFrame, repetition: float | None, entropy: float | None, budget: float | None, seed: str, *ties: str) -> DataFrame:

@@ -199,7 +199,7 @@ def near_groups(docs: DataFrame, words: int = 4) -> DataFrame:
     linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     table = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    joined = skew_join(rows, table, "fp", heavy_keys(rows, "fp", docs.count()), F.col("doc_id"))
+    joined = skew_join(rows, table, "fp", heavy_keys(rows, "fp", docs.count()), F.monotonically_increasing_id())
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

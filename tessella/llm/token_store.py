@@ -68,6 +68,8 @@ def _chunked(path: str, end_id: int, wide: bool):
         for batch in batches:
             for own, flat, at in encoded(batch.column(0), batch.column(1), path):
                 stream = np.insert(flat, at[1:], np.uint32(end_id))
+                if not wide and len(stream) and stream.max() > 0xFFFF:
+                    raise ValueError(f"id {stream.max()} needs wide=True")
                 bounds = (at + np.arange(len(at))).tolist()
                 places, data = marks(stream).tolist(), stream.astype(kind).tobytes()
                 seqs: list[int] = []

@@ -24,11 +24,12 @@ HELD = 1 << 19
 
 
 def quantized(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id and v, the components floor(scale * x) as longs; vectors that are null, empty or hold a null or non-finite component are left out."""
+    """vec_id and v, the components floor(scale * x) as longs; vectors that are null, empty or hold a null or non-finite component
+    are left out; a component beyond a long is an error."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter("vec_id is not null and x is not null and size(x) > 0")
-    return rows.filter(~F.exists("x", bad)).select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    return rows.filter(~F.exists("x", bad)).select("vec_id", F.transform("x", lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is beyond a long")).cast("long"))).alias("v"))
 
 
 def _remaining(columns: np.ndarray, block: int) -> np.ndarray:
@@ -46,14 +47,26 @@ class _Slice:
         self.ids, self.columns, self.block = ids, np.ascontiguousarray(rows.T), block
         self.floats = self.columns.astype(np.float64)
         self.remaining = _remaining(self.columns, block)
+        self.most = float(self.remaining[0].max(initial=0.0))
+
+    def exact(self, query: np.ndarray, live: np.ndarray, most: float) -> np.ndarray:
+        """Inner products of some vectors in integers; most bounds them and all their partial sums."""
+        if most < 2.0**62:
+            return query @ self.columns[:, live]
+        whole = [int(x) for x in query.astype(object) @ self.columns[:, live].astype(object)]
+        if any(not -(1 << 63) <= x < 1 << 63 for x in whole):
+            raise OverflowError("an inner product is beyond a long")
+        return np.array(whole, np.int64)
 
     def best(self, queries: np.ndarray, own: np.ndarray, mass: np.ndarray, k: int, known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query its k best here, pruned by known, scores that k rows reach already."""
         block = self.block
-        # the first block for all queries at once; whole numbers below 2**53 are exact as doubles
+        # the first block for all queries at once; sums in doubles are off by at most error, so bounds give way by that much
         first = queries[:, :block].astype(np.float64) @ self.floats[:block]
         out = []
         for q in range(len(queries)):
+            most = mass[0, q] * self.most
+            error = (len(self.columns) + 8) * 2.0**-51 * most
             live = np.flatnonzero(self.ids != own[q])
             partial = first[q][live]
             for b in range(1, mass.shape[0]):
@@ -62,12 +75,12 @@ class _Slice:
                 floor = known[q]
                 if len(live) > k:
                     floor = max(floor, np.partition(low, len(live) - k)[len(live) - k])
-                stay = np.flatnonzero(partial + rest >= floor - 1e-6 * (1 + abs(floor)))
+                stay = np.flatnonzero(partial + rest >= floor - 1e-6 * (1 + abs(floor)) - 2 * error)
                 live, partial = live[stay], partial[stay]
                 at = slice(b * block, (b + 1) * block)
                 if b < mass.shape[0] - 1:
                     partial = partial + queries[q, at].astype(np.float64) @ self.floats[at][:, live]
-            scores = partial.astype(np.int64)
+            scores = partial.astype(np.int64) if most < 2.0**52 else self.exact(queries[q], live, most)
             order = np.lexsort((self.ids[live], -scores))[:k]
             out.append((self.ids[live][order], scores[order]))
         return out
@@ -103,7 +116,8 @@ def _searched(query_ids: np.ndarray, keys: np.ndarray, queries: np.ndarray, k: i
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = BLOCK, at_once: int = QUERIES) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products, ties to the smaller vec_id.
+    """query_id, rank (from 1), vec_id, score: each query's k largest integer inner products, ties to the smaller vec_id. Scores
+    are exact at any size; one of a candidate that isn't pruned and is beyond a long is an error.
 
     Both tables hold vec_id and v (whole numbers); other columns are ignored. A vector isn't its own query's answer and
     meets only queries of its length; a query without partners gives no rows. Candidates that repeat an id are answers of

@@ -27,6 +27,8 @@ SEGMENT = FAN**LEVELS
 #: WARC-Date of pages that come without the time of their capture.
 DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n\r\n"
+#: Bytes of a gzip file that are inflated at a time.
+STEP = 1 << 14
 
 
 def rendered(page_id: Column, url: Column, html: Column, date: str = DATE) -> Column:
@@ -77,22 +79,26 @@ def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str], int]]:
 
 
 def inflated(data: bytes) -> tuple[bytes, bool]:
-    """The content of a plain or gzip file of any number of members up to its first damaged place, and whether there is none."""
+    """The content of a plain or gzip file of any number of members up to its first damaged place, and whether there is none.
+
+    Bytes are inflated in small steps, so that what stands before a damaged place is kept and a member costs no more than its
+    own length and a step.
+    """
     if data[:2] != b"\x1f\x8b":
         return data, True
-    out = []
-    while data:
+    view, at, out = memoryview(data), 0, []
+    while at < len(view):
         stream = zlib.decompressobj(31)
-        try:
-            for i in range(0, len(data), 1 << 16):  # in steps, so that what stands before a damaged place is kept
-                out.append(stream.decompress(data[i : i + (1 << 16)]))
-                if stream.eof:
-                    data = stream.unused_data + data[i + (1 << 16) :]
-                    break
-            else:
+        while not stream.eof:
+            step = view[at : at + STEP]
+            if not step:
+                return b"".join(out), False
+            try:
+                out.append(stream.decompress(step))
+            except zlib.error:
                 return b"".join(out), False
-        except zlib.error:
-            return b"".join(out), False
+            at += len(step)
+        at -= len(stream.unused_data)
     return b"".join(out), True
 
 

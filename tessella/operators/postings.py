@@ -53,11 +53,14 @@ def update(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame,
     return _write(spark, to, rows.join(gone, "doc", "left_anti").select(*rows.columns).unionByName(came), sizes.join(gone, "doc", "left_anti").unionByName(new))
 
 
-def scores(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
-    """doc and score of every document that holds one of the terms; the terms' postings are read, and no text."""
+def scores(spark: SparkSession, path: str, terms: list[str], within: DataFrame | None = None) -> DataFrame:
+    """doc and score of every document that holds one of the terms; the terms' postings are read, and no text. within (doc):
+    only those documents; terms weigh as in the whole store."""
     rows, _, totals = read(spark, path)
     found = rows.filter(F.col("term").isin(list(dict.fromkeys(terms))))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row a term
+    if within is not None:
+        found = found.join(within.select("doc").distinct(), "doc", "left_semi")
     joined = found.join(F.broadcast(df), "term").join(F.broadcast(totals.select("documents", F.col("length").alias("total"))))  # one row
     idf = F.log1p((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = F.when(F.col("total") > 0, F.col("total") / F.col("documents")).otherwise(1.0)
@@ -65,6 +68,6 @@ def scores(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     return joined.groupBy("doc").agg(F.round(F.sum(part), 9).alias("score"))
 
 
-def search(spark: SparkSession, path: str, terms: list[str], limit: int) -> DataFrame:
+def search(spark: SparkSession, path: str, terms: list[str], limit: int, within: DataFrame | None = None) -> DataFrame:
     """The best documents by score, then id: doc, score."""
-    return scores(spark, path, terms).orderBy(F.col("score").desc(), "doc").limit(limit)
+    return scores(spark, path, terms, within).orderBy(F.col("score").desc(), "doc").limit(limit)

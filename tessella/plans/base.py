@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -25,6 +27,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark: SparkSession, d: str, name: str, build: Callable[[DataFrame, str], str]) -> str:
+    """The path of what build(table, path) has written of a given table in this session; it is built anew when one of the
+    table's files has another name, size or time."""
+    rows = table(spark, d, name)
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*files.columns).cast("decimal(20)"))).first()
+    key = (spark.sparkContext.applicationId, f"{d}/{name}", build.__module__, build.__qualname__, *state)
+    if key not in _KEPT:
+        _KEPT[key] = build(rows, shared(spark))
+    return _KEPT[key]
+
+
 def shared(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir; a temporary folder only for a local session that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import fusion, reading as R
+from tessella.operators import reading as R
 from tessella.plans.base import query, table
-from tessella.plans.corpus import CHANNELS, CHUNKS, TERMS, channels, chunks, fused_sql, scored
+from tessella.plans.corpus import CHUNKS, chunks
 
 #: Pages as Markdown: title and headings marked, other blocks as lines, scripts and styles left out.
 _MARKS = ((r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), (r"<(title|h1)[^>]*>", "\n# "), (r"<h[2-6][^>]*>", "\n## "), (r"</?(title|h[1-6]|p|li|ul|ol|tr|div|nav|br)[^>]*>", "\n"), (r"<[^>]*>", ""), (r"\n{2,}", "\n\n"))
@@ -77,17 +77,6 @@ def table_appendix(spark, d):
     return R.with_appendix(base, tables, ["key"], 12, 2)
 
 
-@query(fused_sql("1 / (rank + 10.0)") + """, rr AS (SELECT id, row_number() OVER (ORDER BY fused DESC, met) AS route FROM u), pp AS (SELECT route, id, unnest(range(0, 6)) AS place FROM rr WHERE route <= 8),
-  ll AS (SELECT id + place AS leaf, min(route * 100 + place) AS won FROM pp GROUP BY leaf), tt AS (SELECT leaf, (won // 100)::INTEGER AS route FROM ll ORDER BY won LIMIT 32) SELECT leaf, route, round(1.0 / (60 + route), 6) AS score FROM tt SEMI JOIN (SELECT doc_id FROM documents WHERE length(text) > 0) x ON doc_id = leaf""")
-def summary_routes(spark, d):
-    """Leaves of the eight best routes (here: the next six documents of each): a leaf's first route wins, 32 leaves are read."""
-    routes = fusion.rrf(channels(spark, d), 8).withColumn("route", F.row_number().over(Window.orderBy(F.desc("fused"), "met_channel", "met_rank")))
-    leaves = routes.select("route", "id", F.posexplode(F.sequence(F.lit(0), F.lit(5))).alias("place", "_")).select((F.col("id") + F.col("place")).alias("leaf"), F.struct("route", "place").alias("by"))
-    first = leaves.groupBy("leaf").agg(F.min("by").alias("by")).orderBy("by").limit(32)
-    held = table(spark, d, "documents").filter("length(text) > 0").select(F.col("doc_id").alias("leaf"))
-    return first.join(held, "leaf", "left_semi").select("leaf", F.col("by.route").alias("route"), F.round(1.0 / (60 + F.col("by.route")), 6).alias("score"))
-
-
 _TOPIC = ["of the", "is", "und", "ment", "par sur"]
 
 
@@ -170,19 +159,6 @@ def addressed_rows(spark, d):
     return found.select("sheet", "book", "row", "price", F.lit(True).alias("addressed")).union(rest.withColumn("addressed", F.lit(False)))
 
 
-@query(f"""WITH {CHANNELS}, u AS (SELECT id, round(sum(1 / (rank + 10.0)), 9) AS fused, min(channel * 1000000 + rank) AS met FROM c GROUP BY id), n AS (SELECT id FROM u WHERE id % 7 = 0 ORDER BY fused DESC, met LIMIT 4),
-  e AS (SELECT id FROM u WHERE id % 7 <> 0 ORDER BY fused DESC, met LIMIT 8), x AS (SELECT doc_id AS id FROM b WHERE doc_id % 7 <> 0 AND doc_id - doc_id % 7 IN (FROM n) ORDER BY score DESC, doc_id LIMIT 8) SELECT id, 'evidence' AS leg FROM e UNION ALL SELECT id, 'descendant' FROM x""")
-def hierarchical_search(spark, d):
-    """Evidence found itself, and as a pool of its own evidence below found navigation nodes (here: ids divisible by seven,
-    each over the next six)."""
-    fused = fusion.rrf(channels(spark, d))
-    best = lambda keep, k: fused.filter(keep).orderBy(F.desc("fused"), "met_channel", "met_rank").limit(k).select("id")
-    nodes = best("id % 7 = 0", max(4, min(8 // 2, 16)))
-    below = scored(spark, d, TERMS).filter("doc_id % 7 <> 0").withColumn("up", F.col("doc_id") - F.col("doc_id") % 7)
-    below = below.join(F.broadcast(nodes.withColumnRenamed("id", "up")), "up", "left_semi").orderBy(F.desc("score"), "doc_id").limit(8)  # four nodes
-    return best("id % 7 <> 0", 8).withColumn("leg", F.lit("evidence")).union(below.select(F.col("doc_id").alias("id"), F.lit("descendant").alias("leg")))
-
-
 _FAMILY = f"""c AS (SELECT source, doc_id, ord, length(chunk) AS size, row_number() OVER (PARTITION BY source ORDER BY length(chunk) DESC, doc_id, ord) AS rank FROM {CHUNKS} WHERE source IS NOT NULL AND length(chunk) > 0 QUALIFY rank <= 64),
   f AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY rank) AS nth FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY nth > 1, rank) AS position FROM f)"""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import fusion, lexical, postings, vectors
-from tessella.plans.base import query, shared, table
+from tessella.plans.base import kept, query, table
 
 TERMS = ["the", "of", "our"]
 
@@ -17,16 +17,9 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("ord", "chunk"))
 
 
-_STORES: dict[tuple, str] = {}
-
-
 def store(spark: SparkSession, d: str) -> str:
     """The postings of the documents below d, built once in a session and searched by every query of it."""
-    docs = table(spark, d, "documents")
-    key = (spark.sparkContext.applicationId, *docs.inputFiles())
-    if key not in _STORES:
-        _STORES[key] = postings.build(docs, shared(spark))
-    return _STORES[key]
+    return kept(spark, d, "documents", lambda docs, path: postings.build(docs, path))
 
 
 def scored(spark: SparkSession, d: str, terms: list[str]) -> DataFrame:

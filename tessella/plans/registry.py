@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tessella.plans import catalog, context, corpus, evaluation, relational, retrieval, selection, storage  # noqa: F401
+from tessella.plans import catalog, context, corpus, evaluation, headings, relational, retrieval, selection, storage  # noqa: F401
 from tessella.plans.base import QUERIES, SQL  # noqa: F401

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.automaton import Automaton
 from tessella.llm.common import fresh, materialize, numbered
-from tessella.llm.words import Words, flat, slices, words
+from tessella.llm.words import Words, flat, portions, slices, words
 
 WINDOW = 10
 #: Words of one automaton at most, and of a stretch of an item.
@@ -138,7 +138,7 @@ def _pass(rows: DataFrame, part: _Part, key: str, every: bool) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             found = words(batch.column(1))
             out = [([], [], [], [], set()) for _ in range(batch.num_rows)]
             for a, b in own.runs(found):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import bounded, materialize, numbered
 from tessella.llm.crc import crc32
-from tessella.llm.words import Words, joined, words
+from tessella.llm.words import Words, joined, portions, words
 
 BUCKETS = 10_000
 SEED = "2024"
@@ -43,8 +43,9 @@ def bucket_counts(texts: DataFrame, runs: int = 1, buckets: int = BUCKETS, text_
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for bucket, _ in features(words(batch.column(0)), runs, buckets):
-                total += np.bincount(bucket, minlength=buckets)
+            for part in portions(batch, 0):
+                for bucket, _ in features(words(part.column(0)), runs, buckets):
+                    total += np.bincount(bucket, minlength=buckets)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
@@ -65,7 +66,7 @@ def _weighed(rows: DataFrame, gain: np.ndarray, runs: int, carried: str) -> Data
     """doc_id, n_words, n_features, weight and what is carried; rows: doc_id, text, the carried column."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             found = words(batch.column(1))
             n, own = np.diff(found.first), np.zeros(len(found.start) + 1, np.int64)
             number = np.zeros(batch.num_rows, np.int64)

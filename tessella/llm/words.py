@@ -6,6 +6,7 @@ UTF-8 is a run of bytes of those classes. A null text has no words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -47,13 +48,20 @@ def words(texts: pa.Array) -> Words:
     return Words(data, start, np.flatnonzero(ends) + 1, np.searchsorted(start, at), at)
 
 
+def portions(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of about most bytes of a text column, one row at least, as arrays take several bytes a byte."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in slices(size, most):
+        yield batch.slice(a, b - a)
+
+
 def flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places of all spans, one span after another."""
     at = np.cumsum(size) - size
     return np.arange(size.sum()) - np.repeat(at - start, size)
 
 
-def slices(size: np.ndarray, most: int):
+def slices(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges (a, b) of spans that hold about most bytes each, one span at least."""
     total = np.concatenate([[0], np.cumsum(size)])
     a = 0

@@ -1,8 +1,7 @@
-"""Cutting texts into overlapping character windows, and choosing context greedily under a budget."""
+"""Cutting texts into overlapping character windows and sections."""
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -48,56 +47,6 @@ def chunk_pages(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ord int, start long, chunk string")
 
 
-_TERM = re.compile(r"[0-9a-zа-яё]+(?:[._/-][0-9a-zа-яё]+)*")
-
-
-def choose(units: list[tuple[int, str]], question: str, budget: int, most: int) -> list[int]:
-    """Indexes of units (rank from 0, text) in the order in which they are taken.
-
-    Each time the unit with the largest (0.7 relevance + 0.3 novel coverage - 0.3 redundancy) / sqrt(1 + length / budget)
-    that still fits; relevance is 0.35 * 10 / (10 + rank) + 0.65 coverage of the question's weighted terms.
-    """
-    terms = [set(_TERM.findall(t.lower())) for _, t in units]
-    asked = set(_TERM.findall(question.lower()))
-    n = len(units)
-    weight = {t: math.log(1 + (n - f + 0.5) / (f + 0.5)) for t in asked if (f := sum(t in s for s in terms))}
-    whole = sum(weight.values())
-    share = lambda s: sum(w for t, w in weight.items() if t in s) / whole if whole else 0.0
-    relevance = [0.35 * 10 / (10 + r) + 0.65 * share(s) for (r, _), s in zip(units, terms, strict=True)]
-    redundant, covered, left, out = [0.0] * n, set(), budget, []
-    while len(out) < most:
-        best, gain = -1, -math.inf
-        for i in range(n):
-            size = len(units[i][1])
-            if i not in out and size <= left:
-                novel = share(terms[i] - covered)
-                value = (0.7 * relevance[i] + 0.3 * novel - 0.3 * redundant[i]) / math.sqrt(1 + size / budget)
-                if value > gain:
-                    best, gain = i, value
-        if best < 0:
-            break
-        out.append(best)
-        left -= len(units[best][1])
-        covered |= terms[best]
-        for i in range(n):
-            union = len(terms[i] | terms[best])
-            redundant[i] = max(redundant[i], len(terms[i] & terms[best]) / union if union else 0.0)
-    return out
-
-
-def select_context(candidates: DataFrame, budget: int, most: int = 16, pool: int = 256) -> DataFrame:
-    """query_id, unit_id, position from candidates (query_id, question, rank, unit_id, text): one group a query, of its
-    pool best ranks (a search's limit, which bounds the group)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["rank", "unit_id"])
-        taken = choose(list(zip(frame["rank"], frame["text"], strict=True)), frame["question"].iloc[0], budget, most)
-        return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "unit_id": [frame["unit_id"].iloc[i] for i in taken], "position": range(1, len(taken) + 1)})
-
-    bounded = candidates.filter(F.col("rank") < pool).filter("text is not null")
-    return bounded.groupBy("query_id").applyInPandas(run, "query_id long, unit_id long, position int")
-
-
 def sections(text: str) -> Iterator[tuple[str, int, int]]:
     """(heading, start, end): the text before the first heading, if any, and every heading with what follows; lines of #
     marks within fences are no headings. The parts join to the whole text."""

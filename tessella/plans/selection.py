@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import fusion, reading as R
+from tessella.operators import fusion, reading as R, selection as S
 from tessella.plans.base import query, table
 from tessella.plans.context import _TOPIC, _points, _topic_pattern
-from tessella.plans.corpus import CHANNELS, CHUNKS, TERMS, channels, chunks, scored
+from tessella.plans.corpus import CHANNELS, CHUNKS, TERMS, TOK, bm25_sql, channels, chunks, scored
 
 #: Tokens that a source's sections may have.
 _ROOM = 1500
@@ -72,3 +72,38 @@ def nested_prefetch(spark, d):
     pool = F.broadcast(fused.union(even).distinct())  # at most 24 ids
     best = found.withColumnRenamed("doc_id", "id").join(pool, "id", "left_semi").orderBy(F.desc("score"), "id").limit(8)
     return best.select("id", F.round("score", 6).alias("score"))
+
+
+_QUESTION = "The price of our plan, und der Preis de la lista que"
+_LIMITS = S.Limits(max_chars=3000, text_chars=2400, items=8, sources=6, reserve=100)
+
+
+@query(rf"""WITH RECURSIVE {bm25_sql()}, y AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, doc_id) - 1 AS rank FROM b JOIN documents USING (doc_id) QUALIFY rank < 200),
+  l AS (SELECT lang, doc_id, ord, chunk, doc_id * 16777216 + ord AS position, CASE WHEN ord = 0 AND rank < 10 THEN rank END AS rank, rank AS source_rank, regexp_replace(trim(regexp_replace(chunk, '\s+', ' ', 'g')), '^$', '') AS content FROM {CHUNKS} LEFT JOIN y USING (lang, doc_id) WHERE lang IS NOT NULL),
+  m AS (SELECT lang, content, min(position) AS position, min(rank) AS rank, min(source_rank) AS source_rank, count(*) - 1 AS copies FROM l WHERE content <> '' GROUP BY ALL),
+  u AS (SELECT m.*, doc_id, ord, length(chunk) AS size, length(doc_id::VARCHAR) AS named, list_distinct({TOK.format("chr(10) || chunk")}) AS terms FROM m JOIN (SELECT lang, position, doc_id, ord, chunk FROM l) USING (lang, position)),
+  a AS (SELECT list_distinct({TOK.format(f"'{_QUESTION}'")}) AS asked), n AS (SELECT lang, count(*) AS n FROM u GROUP BY lang),
+  h AS (SELECT lang, term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM (SELECT lang, unnest(list_intersect(terms, asked)) AS term FROM u, a) JOIN n USING (lang) GROUP BY lang, term, n), k AS (SELECT lang, list({{'t': term, 'w': w}} ORDER BY term) AS ws, sum(w) AS whole FROM h GROUP BY lang),
+  c AS (SELECT u.*, ws, whole, list_sum(list_transform(list_filter(ws, lambda x: list_contains(terms, x.t)), lambda x: x.w)) / whole AS cover, size + greatest(named + 80, 100) AS cost FROM u JOIN k USING (lang)),
+  v AS (SELECT *, 0.35::DOUBLE * CASE WHEN rank IS NOT NULL THEN 10::DOUBLE / (10 + rank) ELSE coalesce(10::DOUBLE / (10 + source_rank) * coalesce(cover, 0), 0) END + 0.65::DOUBLE * coalesce(cover, 0) AS rel, sqrt(1 + greatest(cost / 3000::DOUBLE, size / 2400::DOUBLE)) AS load FROM c),
+  z AS MATERIALIZED (SELECT * FROM v WHERE rel <> 0 AND cost <= 3000 AND size <= 2400),
+  g AS (SELECT lang, 0 AS nth, 0::BIGINT AS position, []::BIGINT[] AS taken, []::VARCHAR[][] AS sets, []::BIGINT[] AS docs, []::VARCHAR[] AS covered, 0::BIGINT AS used, 0::BIGINT AS texts, 0::DOUBLE AS score FROM (SELECT DISTINCT lang FROM z)
+    UNION ALL SELECT lang, nth + 1, x.position, list_append(taken, x.position), list_append(sets, x.terms), list_distinct(list_append(docs, x.doc_id)), list_concat(covered, x.terms), used + x.cost, texts + x.size, x.score FROM
+      (SELECT lang, nth, taken, sets, docs, covered, used, texts, arg_max({{'position': position, 'terms': terms, 'doc_id': doc_id, 'cost': cost, 'size': size, 'score': s}}, {{'s': s, 'p': -position}}) AS x FROM
+        (SELECT g.nth, g.taken, g.sets, g.docs, g.covered, g.used, g.texts, z.*, (0.7::DOUBLE * rel + 0.3::DOUBLE * coalesce(list_sum(list_transform(list_filter(ws, lambda x: list_contains(terms, x.t) AND NOT list_contains(covered, x.t)), lambda x: x.w)), 0) / whole
+            - 0.3::DOUBLE * coalesce(list_max(list_transform(sets, lambda o: len(list_intersect(o, terms)) / greatest(1, len(o) + len(terms) - len(list_intersect(o, terms)))::DOUBLE)), 0)) / load AS s
+          FROM (SELECT lang, nth, taken, sets, docs, covered, used, texts FROM g WHERE nth < 8) g JOIN z USING (lang) WHERE NOT list_contains(taken, z.position) AND used + cost <= 3000 AND texts + size <= 2400 AND (len(docs) < 6 OR list_contains(docs, doc_id))) GROUP BY lang, nth, taken, sets, docs, covered, used, texts))
+  SELECT lang, nth, doc_id, ord, copies, round(score, 6) AS score FROM g JOIN z USING (lang, position) WHERE nth > 0""")
+def selected_context(spark, d):
+    """For every language the lines of its documents that cover a question and repeat each other least: eight of six documents at
+    most, within two budgets. The two hundred documents that the terms find best lend their lines a prior."""
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id")
+    found = scored(spark, d, TERMS).withColumn("rank", F.row_number().over(by) - 1).filter("rank < 200").select("doc_id", "rank")
+    lines = chunks(spark, d).filter("lang IS NOT NULL").join(found, "doc_id", "left")
+    units = lines.select(
+        F.col("lang").alias("question_id"), (F.col("doc_id") * (1 << 24) + F.col("ord")).alias("position"), F.col("doc_id").cast("string").alias("source"), F.col("ord").cast("string").alias("unit_id"),
+        F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("heading"), F.col("chunk").alias("text"), F.when((F.col("ord") == 0) & (F.col("rank") < 10), F.col("rank")).alias("rank"), F.col("rank").alias("source_rank"),
+    )
+    questions = units.select("question_id").distinct().withColumn("question", F.lit(_QUESTION))
+    picked = S.select_context(units, questions, _LIMITS)
+    return picked.select(F.col("question_id").alias("lang"), "nth", F.col("source").cast("long").alias("doc_id"), F.col("unit_id").cast("int").alias("ord"), "copies", "score")

@@ -22,12 +22,6 @@ def test_windows_cover_the_text(spark):
         chunking.chunk_pages(docs, 10, 10)
 
 
-def test_select_context(spark):
-    rows = [(1, "red steel pipe", k, k, t) for k, t in enumerate(["red pipe", "red pipe", "steel plate", "nothing here", "x" * 500])]
-    got = chunking.select_context(spark.createDataFrame(rows, "query_id long, question string, rank int, unit_id long, text string"), 40, 3).orderBy("position").collect()
-    assert [r["unit_id"] for r in got][:2] == [0, 2] and 4 not in {r["unit_id"] for r in got}
-
-
 def test_text_functions(spark):
     row = spark.createDataFrame([("Straße Ёлка AXIS‑P1375 17.25", "AB", "Re: FW: Hello  there", "Doc (2).PDF", "книгами")], "a string, b string, c string, d string, e string")
     got = row.select(X.tokens(F.col("a")), X.column_number(F.col("b")), X.subject_key(F.col("c")), X.name_family(F.col("d")), X.stem_ru(F.col("e")), X.column_letters(F.lit(28))).first()

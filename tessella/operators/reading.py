@@ -56,18 +56,19 @@ def _paragraph(lines: deque[str], budget: int) -> str:
 
 
 def units(text: str, budget: int) -> Iterator[tuple]:
-    """(kind, heading, table_id, row_start, row_end, start, body, prefix, oversized) of a text; bodies join to the text.
+    """(kind, heading, table_id, row_start, row_end, start, body, prefix, oversized, table_header, start_byte) of a text; bodies
+    join to the text, start and start_byte are a body's place in characters and in bytes of UTF-8.
 
     A prefix names the headings above a unit and repeats the header of a table whose earlier rows are in other units. Rows
     are never cut: what is over the budget is marked as oversized.
     """
-    lines, above, tables, at = deque(_LINE.findall(text)), [], 0, 0
+    lines, above, tables, at, byte = deque(_LINE.findall(text)), [], 0, 0, 0
 
     def unit(kind: str, body: str, table: int | None = None, first: int | None = None, last: int | None = None, header: str = "") -> tuple:
         heading = "\n".join(line for _, line in above)
         prefix = f"{heading}\n\n" if heading and not body.startswith(heading) else ""
         prefix += header if first else ""
-        return kind, heading, table, first, last, at, body, prefix, len(prefix) + len(body) > budget
+        return kind, heading, table, first, last, at, body, prefix, len(prefix) + len(body) > budget, header, byte
 
     while lines:
         if _is_row(lines[0]):
@@ -76,7 +77,7 @@ def units(text: str, budget: int) -> Iterator[tuple]:
             while lines and _is_row(lines[0]):
                 body, n = _rows(lines, budget)
                 yield unit("table_rows", body, tables, row, row + n, header)
-                row, at = row + n, at + len(body)
+                row, at, byte = row + n, at + len(body), byte + len(body.encode())
             continue
         title = lines[0].strip()
         if mark := _HEADING.match(title):
@@ -84,14 +85,14 @@ def units(text: str, budget: int) -> Iterator[tuple]:
             above = [*((n, line) for n, line in above if n < level), (level, title)]
         body = _paragraph(lines, budget)
         yield unit("paragraph", body)
-        at += len(body)
+        at, byte = at + len(body), byte + len(body.encode())
 
 
 def reading_units(docs: DataFrame, budget: int) -> DataFrame:
     """doc_id, ord and the units of every text; null and empty texts give none."""
     if budget < 1:
         raise ValueError("budget is at least 1")
-    return _exploded(docs, lambda t: units(t, budget), "kind string, heading string, table_id int, row_start int, row_end int, start long, body string, prefix string, oversized boolean")
+    return _exploded(docs, lambda t: units(t, budget), "kind string, heading string, table_id int, row_start int, row_end int, start long, body string, prefix string, oversized boolean, table_header string, start_byte long")
 
 
 def units_for_index(rows: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import reading as R
-from tessella.plans.base import query, table
+from tessella.operators import reading as R, typed as T
+from tessella.plans.base import kept, query, table
 from tessella.plans.corpus import CHUNKS, chunks
 
 #: Pages as Markdown: title and headings marked, other blocks as lines, scripts and styles left out.
@@ -43,9 +43,14 @@ def table_cells(spark, d):
 
 @query("""SELECT doc_id, source, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY doc_id OFFSET 40 LIMIT 100""")
 def paged_rows(spark, d):
-    """A page of a stored table in order of its key, with the number of all rows."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return docs.orderBy("doc_id").offset(40).limit(100).withColumn("total", F.lit(docs.count()))
+    """A page of a stored table in order of its key, with the number of all rows: its files alone are read."""
+    root = kept(spark, d, "documents", _rows_by_id)
+    return T.page(spark, root, 40, 100).select("doc_id", "source", "n_chars", F.col("_total").alias("total"))
+
+
+def _rows_by_id(docs, path):
+    T.write(docs.select("doc_id", "source", "n_chars"), path, ["doc_id"])
+    return path
 
 
 @query("""WITH g AS (SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)), p AS (SELECT DISTINCT source AS project FROM documents WHERE source IS NOT NULL)

@@ -202,11 +202,14 @@ def inferred_schema(spark, d):
         F.col("l_partkey").cast("string").alias("part"), F.replace(F.col("l_quantity").cast("decimal(12,2)").cast("string"), F.lit(".00"), F.lit("")).alias("quantity"), F.col("l_tax").cast("decimal(12,2)").cast("string").alias("tax"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("shipped"), F.col("l_linestatus").alias("status"),
     )
-    cells = rows.unpivot([], ["part", "quantity", "tax", "shipped", "status"], "name", "v")
-    v = F.col("v")
-    kind = F.when(v.isNull(), 0).when(v.rlike("^[+-]?[0-9]{1,18}$"), 1).when(v.rlike("^[+-]?[0-9]*[.]?[0-9]+$"), 2).when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), 3).otherwise(4)
-    kinds = cells.withColumn("kind", kind).groupBy("name").agg(F.every(F.col("kind") <= 1).alias("a"), F.every(F.col("kind") <= 2).alias("b"), F.every(F.col("kind").isin(0, 3)).alias("c"), F.count(F.lit(1)).alias("cells"))
-    return kinds.select("name", F.when(F.col("a"), "long").when(F.col("b"), "double").when(F.col("c"), "date").otherwise("string").alias("kind"), "cells")
+
+    def flags(name: str):
+        v = F.col(name)
+        kind = F.when(v.isNull(), 0).when(v.rlike("^[+-]?[0-9]{1,18}$"), 1).when(v.rlike("^[+-]?[0-9]*[.]?[0-9]+$"), 2).when(v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), 3).otherwise(4)
+        found = F.when(F.every(kind <= 1), "long").when(F.every(kind <= 2), "double").when(F.every(kind.isin(0, 3)), "date").otherwise("string")
+        return F.struct(F.lit(name).alias("name"), found.alias("kind"), F.count(F.lit(1)).alias("cells"))
+
+    return rows.agg(F.array(*map(flags, rows.columns)).alias("x")).select(F.inline("x"))
 
 
 @query("""WITH q AS (SELECT unnest(string_split(lower(p_name), ' ')) AS term FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)), q2 AS (SELECT DISTINCT term FROM q), r AS (SELECT p_partkey, p_brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part),

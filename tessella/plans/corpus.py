@@ -246,12 +246,6 @@ def mail_threads(spark, d):
     )
 
 
-@query("""SELECT a.conv_id, a.turn, b.turn AS reply_to FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1""")
-def reply_edges(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn")
-    return c.join(c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("reply_to")), ["conv_id", "turn"])
-
-
 @query(r"""SELECT conv_id, turn, lower(trim(regexp_replace(regexp_replace(text, '(?i)^\s*((re|fw|fwd|ответ|пересл)\s*:\s*)+', ''), '\s+', ' ', 'g'))) AS subject FROM conversations WHERE role = 'user'""")
 def norm_subject(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", X.subject_key(F.col("text")).alias("subject"))

@@ -168,12 +168,6 @@ def graph_union(spark, d):
     return a.unionByName(n.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), F.lit("part_of").alias("kind")))
 
 
-@query("""SELECT l_suppkey, o_custkey, count(DISTINCT l_orderkey) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING count(DISTINCT l_orderkey) > 1""")
-def reference_edges(spark, d):
-    j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.groupBy("l_suppkey", "o_custkey").agg(F.countDistinct("l_orderkey").alias("weight")).filter("weight > 1")
-
-
 @query("""SELECT coalesce(d.doc_id, e.vec_id) AS id, CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'orphan' WHEN len(e.embedding) <> 64 THEN 'damaged' ELSE 'clean' END AS state FROM documents d FULL JOIN embeddings e ON d.doc_id = e.vec_id""")
 def integrity_audit(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("dims"))

@@ -106,15 +106,6 @@ def retrieval_signature(spark, d):
     return top.groupBy("source").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("signature"), F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH m AS (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS subject, CASE WHEN turn > 0 AND turn % 3 <> 0 THEN conv_id || '.' || (turn - turn % 3) END AS root FROM conversations) SELECT conv_id, turn, substr(sha256(coalesce(root, nullif(subject, ''), conv_id || '.' || turn)), 1, 12) AS thread FROM m""")
-def thread_keys(spark, d):
-    """A message's thread: its first reference, else its subject, else its own id."""
-    subject = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    root = F.when((F.col("turn") > 0) & (F.col("turn") % 3 != 0), F.concat_ws(".", "conv_id", F.col("turn") - F.col("turn") % 3))
-    key = F.coalesce(root, F.nullif(subject, F.lit("")), F.concat_ws(".", "conv_id", "turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.substring(F.sha2(key, 256), 1, 12).alias("thread"))
-
-
 @query("""SELECT l_partkey AS item, count(DISTINCT l_orderkey) AS carriers, count(DISTINCT o_custkey) AS owners, min(l_orderkey) AS first_carrier FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1""")
 def attachment_provenance(spark, d):
     """Items that several carriers hold, with how many there are and of whom."""

@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 WORD = "[0-9a-zа-яёı]+(?:[._/-][0-9a-zа-яёı]+)*"
 HYPHENS = "‐‑−"
 
-#: Russian endings in the order in which they are tried.
-ENDINGS = (
-    "иями ями ами его ого ему ому ими ыми ией иям ием иях ах ях ую юю ая яя ое ее ые ие ый ий ой ей ом ем ам ям ов ев ью ия ья а я о е ы и у ю ь"
-).split()
-
-
 def casefold(text: Column) -> Column:
     """Lower case with sharp s as ss, which is what full case folding adds for Latin text."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
@@ -33,14 +27,6 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lexical_normalize(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def stem_ru(word: Column, endings: list[str] = ENDINGS) -> Column:
-    """A Cyrillic word of at least four letters without the first ending whose removal leaves four."""
-    out = word
-    for end in reversed(endings):
-        out = F.when(word.endswith(end) & (F.length(word) - len(end) >= 4), F.substring(word, F.lit(1), F.length(word) - len(end))).otherwise(out)
-    return F.when(word.rlike("^[а-яё]{4,}$"), out).otherwise(word)
-
-
 #: Endings of the light stemmer in the order in which they are tried.
 LIGHT_ENDINGS = (
     "иями ям ыми ейший ейшая ейшее ейшие ейших ого его ому ему ыми ими ых их ою ею ая яя ое ее ые ие ым им ом ем ах ях ов ев ей ам ям ит ет ут ют ат ят ти а ев ов е и й о у ы ь я ю ию"
@@ -49,7 +35,10 @@ LIGHT_ENDINGS = (
 
 def light_stem(word: Column) -> Column:
     """A Cyrillic word of at least four letters without the first of LIGHT_ENDINGS whose removal leaves four."""
-    return stem_ru(word, LIGHT_ENDINGS)
+    out = word
+    for end in reversed(LIGHT_ENDINGS):
+        out = F.when(word.endswith(end) & (F.length(word) - len(end) >= 4), F.substring(word, F.lit(1), F.length(word) - len(end))).otherwise(out)
+    return F.when(word.rlike("^[а-яё]{4,}$"), out).otherwise(word)
 
 
 def saturated_integer(text: Column) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.catalog import cut_lineage
+
 EXACT = "decimal(38,12)"
 
 
@@ -100,6 +102,39 @@ def contained_names(names: DataFrame, unit: str, name: str, least: int = 4) -> D
     return best.unionByName(own.filter(F.length(name) < least).withColumn("item", F.col(name)))
 
 
+def name_clusters(names: DataFrame, unit: str, name: str, least: int = 4) -> DataFrame:
+    """unit, name, cluster of distinct names: what a loop over a unit's names in their order gives that puts each into the oldest
+    cluster with a name that matches it (one holds the other, and the shorter has least characters), or opens one.
+
+    That cluster's first name is the least first name among those of all matching earlier names, so first names are handed on
+    along such pairs until none falls any more: as many rounds as the longest chain needs, each written once.
+    """
+    own = names.select(unit, name).filter(F.col(name).isNotNull()).distinct()
+    long = own.filter(F.length(name) >= least)
+    stretches = F.transform(F.sequence(F.lit(1), F.length(name) - least + 1), lambda k: F.substring(F.col(name), k, F.lit(least)))
+    held = long.select(unit, F.col(name).alias("_a"), F.explode(F.array_distinct(stretches)).alias("_key"))
+    begun = long.select(unit, F.col(name).alias("_b"), F.substring(name, 1, least).alias("_key"))
+    pairs = held.join(begun, [unit, "_key"]).filter((F.col("_a") != F.col("_b")) & F.contains("_a", F.col("_b")))
+    earlier = cut_lineage(pairs.select(unit, F.least("_a", "_b").alias("_early"), F.greatest("_a", "_b").alias(name)).distinct())
+    opens = own.join(earlier.select(unit, name).distinct(), [unit, name], "left_anti")
+    # the names whose label fell in the last round hand it on; labels of names that have none yet count as none
+    labels = cut_lineage(opens.withColumn("cluster", F.col(name)))
+    fallen = labels
+    while not fallen.isEmpty():
+        handed = fallen.withColumnRenamed(name, "_early").join(earlier, [unit, "_early"]).groupBy(unit, name).agg(F.min("cluster").alias("_new"))
+        fallen = cut_lineage(handed.join(labels, [unit, name], "left").filter(F.col("cluster").isNull() | (F.col("_new") < F.col("cluster"))).select(unit, name, F.col("_new").alias("cluster")))
+        labels = cut_lineage(labels.join(fallen.select(unit, name), [unit, name], "left_anti").unionByName(fallen))
+    return labels
+
+
+def reconciled(rows: DataFrame, unit: str, name: str, kind: str, kinds: list[str], qty: str) -> DataFrame:
+    """Clusters of names with their quantities of each kind of source side by side: unit, cluster, name (the longest, then first),
+    names, a column a kind, status."""
+    found = rows.join(name_clusters(rows, unit, name), [unit, name])
+    titles = found.groupBy(unit, "cluster").agg(F.min(F.struct((-F.length(name)).alias("n"), F.col(name).alias("name")))["name"].alias("name"), F.count_distinct(name).alias("names"))
+    return reconcile(found, [unit, "cluster"], kind, kinds, qty).join(titles, [unit, "cluster"])
+
+
 def header_rows(cells: DataFrame, most: int = 20) -> DataFrame:
     """sheet, header of cells (sheet, r, value): the first of a sheet's first most filled rows that has two or more cells, all
     text, and a number in the filled row below it."""

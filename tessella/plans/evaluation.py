@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.functions import unicode as U
-from tessella.operators import fusion, postings, vectors
+from tessella.operators import fusion, postings, vectors, snowball as SB
 from tessella.plans.base import query, shared, table
 from tessella.plans.corpus import CHANNELS, CHUNKS, TERMS, TOK, TOP, bm25_sql, channels, chunks, fused_sql, store
 
@@ -296,3 +296,25 @@ def dense_by_dataset(spark, d):
     rows = e.select("label", (F.col("vec_id") % 5).alias("file"), "vec_id", score.alias("score"))
     nth = F.row_number().over(Window.partitionBy("label", "file").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("nth", nth).filter("nth <= 2").select("label", "file", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _longest(text: str, *groups: str) -> str:
+    return f"regexp_extract({text}, '{SB.pattern(*groups)}')"
+
+
+def _after(text: str, groups: tuple[str, str]) -> str:
+    """The longest ending of both groups; one of the first counts only after а or я."""
+    first = ", ".join(f"'{e}'" for e in groups[0].split())
+    return f"CASE WHEN {_longest(text, *groups)} IN ({first}) AND NOT regexp_matches(left({text}, length({text}) - length({_longest(text, *groups)})), '[ая]$') THEN '' ELSE {_longest(text, *groups)} END"
+
+
+@query(f"""WITH t AS (SELECT translate(w, '{LATIN}', '{CYRILLIC}') AS word, n FROM (SELECT w, count(*) AS n FROM (SELECT unnest({TOK.format('text')}) AS w FROM documents) GROUP BY w)),
+  a AS (SELECT *, replace(word, 'ё', 'е') AS w, regexp_extract(replace(word, 'ё', 'е'), '^[^{SB.VOWELS}]*[{SB.VOWELS}](.*)$', 1) AS rv, regexp_extract(replace(word, 'ё', 'е'), '^.*?[{SB.VOWELS}][^{SB.VOWELS}].*?[{SB.VOWELS}][^{SB.VOWELS}](.*)$', 1) AS r2 FROM t),
+  b AS (SELECT *, {_after('rv', SB.GERUND)} AS g, regexp_replace(rv, '{SB.pattern(SB.REFLEXIVE)}', '') AS p FROM a), c AS (SELECT *, {_longest('p', SB.ADJECTIVE)} AS j, {_after('p', SB.VERB)} AS v, {_longest('p', SB.NOUN)} AS o, left(p, length(p) - length({_longest('p', SB.ADJECTIVE)})) AS l FROM b),
+  d AS (SELECT *, CASE WHEN g <> '' THEN left(rv, length(rv) - length(g)) WHEN j <> '' THEN left(l, length(l) - length({_after('l', SB.PARTICIPLE)})) WHEN v <> '' THEN left(p, length(p) - length(v)) ELSE left(p, length(p) - length(o)) END AS x FROM c),
+  e AS (SELECT *, regexp_replace(x, 'и$', '') AS y FROM d), f AS (SELECT *, CASE WHEN {_longest('y', SB.DERIVATIONAL)} <> '' AND length(y) - length({_longest('y', SB.DERIVATIONAL)}) >= length(rv) - length(r2) THEN left(y, length(y) - length({_longest('y', SB.DERIVATIONAL)})) ELSE y END AS z FROM e),
+  h AS (SELECT word, n, CASE WHEN NOT regexp_full_match(word, '[а-яё]+') THEN word ELSE left(w, length(w) - length(rv)) || CASE WHEN regexp_matches(z, '{SB.pattern(SB.SUPERLATIVE)}') THEN regexp_replace(regexp_replace(z, '{SB.pattern(SB.SUPERLATIVE)}', ''), 'нн$', 'н') WHEN regexp_matches(z, 'нн$') THEN left(z, length(z) - 1) ELSE regexp_replace(z, 'ь$', '') END END AS stem FROM f)
+  SELECT stem, sum(n)::BIGINT AS n, count(*) AS words FROM h GROUP BY stem""")
+def snowball_stems(spark, d):
+    """Words by their Snowball stem; every distinct word is stemmed once."""
+    return SB.stem_counts(table(spark, d, "documents"), F.translate("w", LATIN, CYRILLIC))

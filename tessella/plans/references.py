@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import references as N
+from tessella.operators import references as N, tables as T
 from tessella.plans.base import query, table
 from tessella.plans.corpus import CHUNKS, chunks
 
@@ -78,3 +78,23 @@ def fitted_answers(spark, d):
     a = table(spark, d, "documents").filter("source IS NOT NULL AND lang IS NOT NULL").withColumn("rank", nth("doc_id")).filter("rank <= 60")
     a = a.select("source", F.lit(1).alias("kind"), "rank", F.lit(None).cast("string").alias("unit"), F.to_json(F.struct(F.col("lang").alias("alias"), F.col("doc_id").alias("of"))).alias("body"))
     return N.fitted(p.union(a), "source", 9000, 60, 12).select("source", "kind", F.col("rank").cast("long").alias("rank"), "place", "used", "units")
+
+
+#: Parts under full names, and under their last word alone, as two kinds of source; a brand is the unit.
+_PARTS = """SELECT p_brand AS unit, p_name AS name, 'spec' AS kind, p_size::DOUBLE AS qty FROM part UNION ALL SELECT p_brand, split_part(p_name, ' ', 2), 'invoice', p_size + CASE WHEN p_size > 40 THEN 0.5 ELSE 0 END FROM part WHERE p_size > 10
+  UNION ALL SELECT p_brand, p_name || ' ' || p_type, 'invoice', 1 FROM part WHERE p_size = 7"""
+
+
+@query(f"""WITH RECURSIVE p AS ({_PARTS}), n AS (SELECT unit, name, row_number() OVER (PARTITION BY unit ORDER BY name) AS i FROM (SELECT DISTINCT unit, name FROM p)), l AS (SELECT unit, list(name ORDER BY i) AS names FROM n GROUP BY unit),
+  r AS (SELECT unit, 0::BIGINT AS i, []::BIGINT[] AS c FROM l UNION ALL SELECT r.unit, r.i + 1, list_append(c, coalesce(list_min(list_transform(list_filter(range(1, r.i + 1), lambda j: least(length(names[j]), length(names[r.i + 1])) >= 4 AND (contains(names[j], names[r.i + 1]) OR contains(names[r.i + 1], names[j]))), lambda j: c[j])), r.i + 1)) FROM r JOIN l USING (unit) WHERE r.i < len(names)),
+  f AS (SELECT unit, unnest(names) AS name, names[unnest(c)] AS cluster FROM (SELECT unit, c FROM r JOIN l USING (unit) WHERE i = len(names)) JOIN l USING (unit)),
+  w AS (SELECT unit, cluster, arg_min(name, {{'n': -length(name), 's': name}}) AS name, count(DISTINCT name) AS names, round(sum(qty) FILTER (kind = 'spec'), 6) AS spec, round(sum(qty) FILTER (kind = 'invoice'), 6) AS invoice FROM p JOIN f USING (unit, name) GROUP BY unit, cluster)
+  SELECT *, CASE WHEN spec IS NOT NULL AND invoice IS NOT NULL AND greatest(spec, invoice) - least(spec, invoice) > greatest(1e-6, greatest(spec, invoice) * 0.01) THEN 'mismatch' WHEN spec IS NULL OR invoice IS NULL THEN 'gap' ELSE 'match' END AS status FROM w""")
+def reconciled_clusters(spark, d):
+    """Parts by clusters of names that hold each other, within a brand: quantities of two kinds of source and their status."""
+    part = table(spark, d, "part")
+    brand, size = F.col("p_brand").alias("unit"), F.col("p_size").cast("double")
+    spec = part.select(brand, F.col("p_name").alias("name"), F.lit("spec").alias("kind"), size.alias("qty"))
+    short = part.filter("p_size > 10").select(brand, F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("invoice"), size + F.when(F.col("p_size") > 40, 0.5).otherwise(0.0))
+    typed = part.filter("p_size = 7").select(brand, F.concat_ws(" ", "p_name", "p_type"), F.lit("invoice"), F.lit(1.0))
+    return T.reconciled(spec.union(short).union(typed), "unit", "name", "kind", ["spec", "invoice"], "qty")

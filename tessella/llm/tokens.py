@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; beyond it all are forgotten and met anew.
-MEMORY = 300_000
+MEMORY = 600_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 2 << 20
 #: New pieces that are given to the tokenizer as one line each of one string.

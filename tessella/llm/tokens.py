@@ -9,6 +9,7 @@ numpy's cut might differ from the pattern's (rare scripts, unusual white space,
 from __future__ import annotations
 
 import functools
+import os
 import unicodedata
 from collections.abc import Iterator
 
@@ -98,6 +99,8 @@ class Encoder:
     """encode(texts) gives the ids of all texts in one array, and where each text's ids start."""
 
     def __init__(self, path: str):
+        # a task is one of many on its machine; threads of its own would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

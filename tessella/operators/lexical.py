@@ -1,10 +1,8 @@
-"""Exact BM25 over a table of texts: postings, statistics, search, grouped search and incremental maintenance."""
+"""Term counts and statistics of a table of texts, sparse vectors, corrections, and incremental maintenance of counts."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import tokens
@@ -26,44 +24,6 @@ def frequencies(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _occurrences(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
-
-
-def scored(docs: DataFrame, terms: list[str], keep: Column | None = None, text_col: str = "text") -> DataFrame:
-    """docs that hold a query term, with their BM25 score. Statistics are the whole corpus's; keep restricts candidates only.
-
-    A query's few terms are counted inside each row, so postings are neither exploded nor shuffled; the statistics are one
-    row that the driver reads.
-    """
-    terms = list(dict.fromkeys(terms))
-    # a generator of one row, as an optimizer that merges projections would cut every text once a term
-    words = docs.select("*", F.explode(F.array(tokens(F.col(text_col)))).alias("_words"))
-    counts = {f"_tf{i}": _occurrences("_words", t) for i, t in enumerate(terms)}
-    rows = words.withColumns({"_length": F.size("_words"), **counts}).drop("_words")
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_length").alias("total"), *(F.count_if(F.col(c) > 0).alias(c) for c in counts)).first()
-    n, mean = stats["n"], (stats["total"] or 0) / max(1, stats["n"]) or 1.0
-    score = F.lit(0.0)
-    for c in counts:
-        if stats[c]:
-            idf = math.log(1 + (n - stats[c] + 0.5) / (stats[c] + 0.5))
-            score = score + F.lit(idf) * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("_length") / mean))
-    found = rows if keep is None else rows.filter(keep)
-    return found.withColumn("score", F.round(score, 9)).filter("score > 0").drop("_length", *counts)
-
-
-def search(docs: DataFrame, terms: list[str], limit: int, keep: Column | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The best rows by score, then id."""
-    return scored(docs, terms, keep).select(F.col(id_col), "score").orderBy(F.col("score").desc(), id_col).limit(limit)
-
-
-def search_grouped(docs: DataFrame, terms: list[str], group: str, group_size: int, limit: int, id_col: str = "doc_id") -> DataFrame:
-    """As search(), with at most group_size rows of a group."""
-    order = Window.partitionBy(group).orderBy(F.col("score").desc(), id_col)
-    best = scored(docs, terms).withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= group_size)
-    return best.select(id_col, group, "score").orderBy(F.col("score").desc(), id_col).limit(limit)
-
-
 def updated(counts: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term_counts, frequencies) after the documents of removed (doc) left and those of added (doc, term, tf) came in or
     replaced theirs; frequencies change by the signed sum of what left and came."""

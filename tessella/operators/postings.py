@@ -1,11 +1,16 @@
 """Stored BM25 postings: built once, searched by their terms alone, changed by delta.
 
-A store is a folder with three Parquet tables: ``postings`` (term, doc, tf, length) in files ranged and sorted by term, so that a
-search reads the row groups of its terms; ``documents`` (doc, length); and ``totals`` (one row: documents, length).
+A store is a list of layers, a folder each: ``postings`` (term, doc, tf, length) in files ranged and sorted by term, so that a
+search reads the row groups of its terms; ``documents`` (doc, length); and ``gone`` (doc), the documents that leave the layers
+below. A change writes a layer of what came and what went, and a new list; a search takes a document from a layer only if no
+later one says that it is gone. Nothing is rewritten until the store is compacted, and older lists stay readable. The list
+has the numbers of documents and words that a search weighs by.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,32 +30,76 @@ def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc"), F.size(tokens(F.col(text_col))).cast("long").alias("length"))
 
 
-def _write(spark: SparkSession, path: str, rows: DataFrame, sizes: DataFrame) -> str:
-    rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{path}/postings")
-    sizes.write.parquet(f"{path}/documents")
-    held = spark.read.schema("doc long, length long").parquet(f"{path}/documents")
-    held.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).write.parquet(f"{path}/totals")
+_POSTINGS, _DOCUMENTS, _GONE = "term string, doc long, tf long, length long", "doc long, length long", "doc long"
+_LAYERS = "layer int, folder string, documents long, length long"
+
+
+def _write_layer(folder: str, rows: DataFrame, sizes: DataFrame, gone: DataFrame) -> None:
+    rows.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.parquet(f"{folder}/postings")
+    sizes.write.parquet(f"{folder}/documents")
+    gone.select("doc").distinct().write.parquet(f"{folder}/gone")
+
+
+def _write_list(spark: SparkSession, path: str, layers: list[tuple[int, str, int, int]]) -> str:
+    spark.createDataFrame(layers, _LAYERS).coalesce(1).write.parquet(f"{path}/layers")  # which makes the store readable
     return path
 
 
+def _layers(spark: SparkSession, path: str) -> list[tuple[int, str, int, int]]:
+    """(layer, folder, documents and words of the store with it) of a store's layers, the oldest first."""
+    return sorted(map(tuple, spark.read.schema(_LAYERS).parquet(f"{path}/layers").collect()))
+
+
+def _sum(sizes: DataFrame) -> tuple[int, int]:
+    return tuple(sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first())
+
+
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write the store of docs at path; returns path. An empty table gives an empty store."""
-    return _write(docs.sparkSession, path, counted(docs, id_col, text_col), lengths(docs, id_col, text_col))
+    spark, folder = docs.sparkSession, f"{path}/layer"
+    _write_layer(folder, counted(docs, id_col, text_col), lengths(docs, id_col, text_col), spark.createDataFrame([], _GONE))
+    return _write_list(spark, path, [(0, folder, *_sum(spark.read.schema(_DOCUMENTS).parquet(f"{folder}/documents")))])
+
+
+def _live(spark: SparkSession, layers: list[tuple], name: str, kind: str) -> DataFrame:
+    """Rows of all layers but for those of documents that a later layer says are gone."""
+    read = lambda k, table, schema: spark.read.schema(schema).parquet(f"{layers[k][1]}/{table}").withColumn("_layer", F.lit(layers[k][0]))
+    rows = functools.reduce(DataFrame.unionByName, (read(k, name, kind) for k in range(len(layers))))
+    if len(layers) == 1:
+        return rows.drop("_layer")
+    gone = functools.reduce(DataFrame.unionByName, (read(k, "gone", _GONE) for k in range(1, len(layers))))
+    last = gone.groupBy("doc").agg(F.max("_layer").alias("_since"))
+    return rows.join(last, "doc", "left").filter(F.col("_since").isNull() | (F.col("_layer") >= F.col("_since"))).drop("_layer", "_since").select(*(c.split()[0] for c in kind.split(", ")))
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """postings, documents, totals."""
-    kinds = {"postings": "term string, doc long, tf long, length long", "documents": "doc long, length long", "totals": "documents long, length long"}
-    return tuple(spark.read.schema(k).parquet(f"{path}/{name}") for name, k in kinds.items())
+    """postings, documents, totals (one row: documents, length)."""
+    layers = _layers(spark, path)
+    totals = spark.createDataFrame([layers[-1][2:]], "documents long, length long")
+    return _live(spark, layers, "postings", _POSTINGS), _live(spark, layers, "documents", _DOCUMENTS), totals
 
 
-def update(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame, to: str) -> str:
+def update(spark: SparkSession, path: str, removed: DataFrame, added: DataFrame, to: str, expected: int | None = None) -> str:
     """Write at `to` the store without the documents of removed (doc) and with those of added (doc_id, text), which replace
-    theirs: postings, lengths and totals follow, no other text is read. Ids that the store doesn't hold are ignored."""
+    theirs: one layer of that delta, on top of those of the store at path, which stays as it is. Ids that the store doesn't hold are
+    ignored. expected: documents that the store must have then; another number is an error, and there is no store at `to`."""
+    layers, folder = _layers(spark, path), f"{to}/layer"
+    _write_layer(folder, counted(added), lengths(added), removed.select("doc").union(added.select(F.col("doc_id").alias("doc"))))
+    gone = spark.read.schema(_GONE).parquet(f"{folder}/gone")
+    left, words = _sum(_live(spark, layers, "documents", _DOCUMENTS).join(gone, "doc", "left_semi"))
+    came, more = _sum(spark.read.schema(_DOCUMENTS).parquet(f"{folder}/documents"))
+    documents = layers[-1][2] - left + came
+    if expected is not None and documents != expected:
+        raise ValueError(f"the store would have {documents} documents, not {expected}")
+    return _write_list(spark, to, [*layers, (layers[-1][0] + 1, folder, documents, layers[-1][3] - words + more)])
+
+
+def compact(spark: SparkSession, path: str, to: str) -> str:
+    """Write at `to` the store at path as one layer; returns `to`."""
     rows, sizes, _ = read(spark, path)
-    came, new = counted(added), lengths(added)
-    gone = removed.select("doc").union(new.select("doc")).distinct()
-    return _write(spark, to, rows.join(gone, "doc", "left_anti").select(*rows.columns).unionByName(came), sizes.join(gone, "doc", "left_anti").unionByName(new))
+    folder = f"{to}/layer"
+    _write_layer(folder, rows, sizes, spark.createDataFrame([], _GONE))
+    return _write_list(spark, to, [(0, folder, *_layers(spark, path)[-1][2:])])
 
 
 def scores(spark: SparkSession, path: str, terms: list[str], within: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessella.operators.chunking import _exploded
 
+Measure = Callable[[str], int]
+
 _LINE = re.compile(r"[^\n]*\n|[^\n]+")
 _WORD = re.compile(r"\S*\s|\S+")
 _HEADING = re.compile(r"(#{1,6}) ")
@@ -110,10 +112,10 @@ _AFTER_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def clauses(text: str) -> list[str]:
-    """Trimmed parts of a text, a new one at every line that begins a clause."""
+    """Trimmed parts of a text, a new one at every line that begins a clause, indented or not."""
     parts: list[list[str]] = [[]]
     for line in _LINE.findall(text):
-        if _CLAUSE.match(line):
+        if _CLAUSE.match(line.strip()):
             parts.append([])
         parts[-1].append(line)
     return [p for lines in parts if (p := "".join(lines).strip())]
@@ -123,28 +125,28 @@ def sentences(text: str) -> list[str]:
     return [s for s in _AFTER_SENTENCE.split(text.strip()) if s]
 
 
-def _tail(text: str, overlap: int) -> str:
-    """The last whole sentences of a chunk within overlap, each with a blank; without any its last characters."""
-    kept, room = [], overlap
-    for s in reversed(sentences(text)):
-        if len(s) + 1 > room:
+def _tail(text: str, overlap: int, measure: Measure, unit: int) -> str:
+    """The last whole sentences of a chunk within overlap, each with a blank; without any the last characters of the last one."""
+    kept, room, said = [], overlap, sentences(text)
+    for s in reversed(said):
+        if measure(s) + 1 > room:
             break
         kept.append(s)
-        room -= len(s) + 1
-    return " ".join(reversed(kept)) if kept else text[len(text) - overlap :]
+        room -= measure(s) + 1
+    return " ".join(reversed(kept)) if kept else said[-1][-overlap * unit :].strip()
 
 
-def _packed(pieces: list[str], mark: str, size: int, overlap: int, finer: Callable[[str], Iterator[str]]) -> Iterator[str]:
+def _packed(pieces: list[str], mark: str, size: int, overlap: int, finer: Callable[[str], Iterator[str]], measure: Measure, unit: int) -> Iterator[str]:
     held = ""
     for piece in pieces:
-        if len(piece) > size:
+        if measure(piece) > size:
             if held:
                 yield held
             held = ""
             yield from finer(piece)
-        elif held and len(held) + len(mark) + len(piece) > size:
+        elif held and measure(held) + len(mark) + measure(piece) > size:
             yield held
-            tail = _tail(held, overlap) if overlap else ""
+            tail = _tail(held, overlap, measure, unit) if overlap else ""
             held = tail + mark + piece if tail else piece
         else:
             held = held + mark + piece if held else piece
@@ -152,20 +154,22 @@ def _packed(pieces: list[str], mark: str, size: int, overlap: int, finer: Callab
         yield held
 
 
-def structured(text: str, size: int, overlap: int) -> Iterator[str]:
-    """Chunks of size characters: clauses joined by an empty line, longer ones by sentences, longer ones of these by
-    overlapping slices. A chunk begins with the end of the one before, by which it may be longer."""
-    step = size - min(overlap, size // 4)
-    slices = lambda s: (s[k : k + size] for k in range(0, len(s), step))
-    finer = lambda c: _packed(sentences(c), " ", size, overlap, slices)
-    return _packed(clauses(text), "\n\n", size, overlap, finer)
+def structured(text: str, size: int, overlap: int, measure: Measure = len) -> Iterator[str]:
+    """Chunks of size: clauses joined by an empty line, longer ones by sentences, longer ones of these by overlapping slices. A
+    chunk begins with the end of the one before, by which it may be longer. measure: what a text counts (its characters); for
+    any other, slices have three characters a unit."""
+    unit = 1 if measure is len else 3
+    step = size * unit - min(overlap * unit, size * unit // 4)
+    slices = lambda s: (s[k : k + size * unit] for k in range(0, len(s), step))
+    finer = lambda c: _packed(sentences(c), " ", size, overlap, slices, measure, unit)
+    return _packed(clauses(text), "\n\n", size, overlap, finer, measure, unit)
 
 
-def chunk_structured(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+def chunk_structured(docs: DataFrame, size: int, overlap: int, measure: Measure = len) -> DataFrame:
     """doc_id, ord, chunk; null and blank texts give none."""
     if not 0 <= overlap < size:
         raise ValueError("overlap is at least 0 and less than size")
-    return _exploded(docs, lambda t: ((c,) for c in structured(t, size, overlap)), "chunk string")
+    return _exploded(docs, lambda t: ((c,) for c in structured(t, size, overlap, measure)), "chunk string")
 
 
 def row_cells(line: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import typed as T
+from tessella.operators import documents as D, typed as T
 from tessella.plans.base import kept, query, table
 
 #: Orders as JSON rows of changing keys: whole and broken numbers, texts, texts that are numbers, flags, nulls, mixed kinds.
@@ -42,3 +42,18 @@ def pinned_pages(spark, d):
     columns = [F.col("_row").alias("row"), "id", F.col("total").alias("total_price"), "rank", "open", F.col("_total").alias("total")]
     read = lambda n: T.page(spark, root, 500, 200, revision=n).select(F.lit(n).cast("long").alias("revision"), *columns)
     return read(1).union(read(2))
+
+
+#: Customers as nested documents: objects in objects and in arrays, scalars in arrays, nulls.
+_NESTED = """'{"id": ' || c_custkey || ', "type": "customer", "name": "' || c_name || '", "tags": ["' || c_mktsegment || '", ' || c_nationkey || '], "at": {"nation": {"id": ' || c_nationkey || ', "note": null}, "marks": [{"x": 1, "y": [true]}, {"x": ' || (c_custkey % 7) || '}]}}'"""
+
+
+@query(f"""WITH t AS (SELECT c_custkey, x.* FROM (SELECT c_custkey, ({_NESTED})::JSON AS j FROM customer) c, json_tree(c.j) x),
+  o AS (SELECT c_custkey, fullkey AS path FROM t WHERE type = 'OBJECT'), p AS (SELECT *, (SELECT max(path) FROM (SELECT unnest(list_filter(['$', '$.at', '$.at.nation', '$.at.marks[0]', '$.at.marks[1]'], lambda k: k <> t.fullkey AND (starts_with(t.fullkey, k || '.') OR starts_with(t.fullkey, k || '[')))) AS path)) AS owner FROM t)
+  SELECT c_custkey AS doc_id, 'element' AS what, owner, fullkey AS path, CASE fullkey WHEN '$' THEN c_custkey::VARCHAR WHEN '$.at.nation' THEN json_extract_string(value, '$.id') END AS value FROM p WHERE type = 'OBJECT'
+  UNION ALL SELECT c_custkey, 'property', owner, substr(fullkey, length(owner) + 2), CASE WHEN type <> 'NULL' THEN json_extract_string(value, '$') END FROM p WHERE type NOT IN ('OBJECT', 'ARRAY')""")
+def walked_documents(spark, d):
+    """Elements with their ids and properties of nested documents, each under the object around it."""
+    found = D.walk(table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(_NESTED).alias("json")))
+    elements = found.elements.select("doc_id", F.lit("element").alias("what"), "owner", "path", F.col("id").alias("value"))
+    return elements.union(found.properties.select("doc_id", F.lit("property"), "owner", "key", "value"))

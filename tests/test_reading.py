@@ -41,6 +41,11 @@ def test_structured_chunks():
     assert list(R.structured("Aa bb. Cc dd. Ee ff.", 14, 7)) == ["Aa bb. Cc dd.", "Cc dd. Ee ff."]
     assert list(R.structured("abcdefghij", 4, 1)) == ["abcd", "defg", "ghij", "j"]
     assert list(R.structured(" \n", 4, 1)) == []
+    assert R.clauses("1.1 a\n  1.2 b\n\t1.3 c") == ["1.1 a", "1.2 b", "1.3 c"]
+    assert list(R.structured("One two three. Four five six. Seven", 16, 5)) == ["One two three.", "hree. Four five six.", "six. Seven"]
+    quarter = lambda t: max(1, len(t) // 4)
+    found = list(R.structured("\n".join(f"1.{k} " + "word " * 20 for k in range(6)), 50, 5, quarter))
+    assert len(found) > 2 and all(quarter(c) <= 50 + 5 + 2 for c in found) and found[1].startswith("word")
 
 
 @settings(max_examples=200, deadline=None)

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -96,5 +97,13 @@ def test_stored_postings_follow_changes(spark):
     after = {i: t for i, t in texts.items() if i not in (1, 2, 40)} | new
     path = postings.update(spark, path, spark.createDataFrame([(1,), (2,), (40,), (99,)], "doc long"), frame(new), shared(spark))
     assert found(path) == bm25_by_hand(after, ["red", "pipe"])
+    # a second delta on the first: 3 comes back as another text, 50 goes, 1 returns
+    last = {i: t for i, t in after.items() if i != 50} | {3: "pipe a", 1: "red"}
+    before, path = path, postings.update(spark, path, spark.createDataFrame([(50,)], "doc long"), frame({3: "pipe a", 1: "red"}), shared(spark), expected=len(last))
+    assert found(path) == bm25_by_hand(last, ["red", "pipe"]) and found(before) == bm25_by_hand(after, ["red", "pipe"])
+    once = postings.compact(spark, path, shared(spark))
+    assert found(once) == found(path) and {r["doc"] for r in postings.read(spark, once)[1].collect()} == set(last)
+    with pytest.raises(ValueError, match="documents"):
+        postings.update(spark, path, spark.createDataFrame([(50,)], "doc long"), frame({}), shared(spark), expected=1)
     empty = postings.build(frame(texts).limit(0), shared(spark))
     assert found(empty) == {}

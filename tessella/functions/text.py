@@ -156,9 +156,27 @@ def column_number(letters: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """Letters of column numbers up to 702."""
-    first, second = F.floor((number - 1) / 26), F.pmod(number - 1, F.lit(26))
-    return F.concat(F.when(first > 0, F.char(64 + first)).otherwise(""), F.char(65 + second))
+    """Letters of a column's number, of any size; none below 1."""
+    def step(s: Column, _: Column) -> Column:
+        left = s["left"] - 1
+        more = F.struct(F.floor(left / 26).cast("long").alias("left"), F.concat(F.char(65 + F.pmod(left, F.lit(26))), s["out"]).alias("out"))
+        return F.when(s["left"] > 0, more).otherwise(s)
+
+    # fourteen letters are beyond a long
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(number.cast("long").alias("left"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+
+# A run of digits with separators, and the years that aren't flagged.
+NUMBER_RUN, SEPARATORS, YEARS = r"[0-9][0-9 \x{a0}.,]{2,}[0-9]", r"[ \x{a0}.,]", (1900, 2099)
+
+
+def ungrounded_numbers(answer: Column, context: Column, most: int = 5) -> Column:
+    """The first numbers of four digits or more of an answer that its context doesn't hold, separators aside; years are left out."""
+    plain = lambda text: F.regexp_replace(text, SEPARATORS, "")
+    runs = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(NUMBER_RUN), F.lit(0))
+    year = lambda digits: (F.length(digits) == 4) & digits.cast("int").between(*YEARS)
+    lone = F.filter(runs, lambda r: (F.length(plain(r)) >= 4) & ~year(plain(r)) & ~F.contains(plain(F.coalesce(context, F.lit(""))), plain(r)))
+    return F.slice(lone, 1, most)
 
 
 def compact_tokens(text: Column) -> Column:

@@ -119,11 +119,12 @@ def detect_kind(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(T.kind(F.concat_ws(" ", "p_name", "p_type"), KINDS), F.lit("unknown")).alias("kind"))
 
 
-@query("""SELECT DISTINCT p_size AS number, CASE WHEN p_size > 26 THEN chr(64 + (p_size - 1) // 26) ELSE '' END || chr(65 + (p_size - 1) % 26) AS letters, p_size AS again FROM part""")
+@query("""SELECT DISTINCT p_partkey AS number, CASE WHEN p_partkey < 1 THEN '' WHEN p_partkey > 702 THEN chr(65 + ((p_partkey - 703) // 676)::INT) || chr(65 + ((p_partkey - 703) // 26 % 26)::INT) || chr(65 + ((p_partkey - 703) % 26)::INT)
+  WHEN p_partkey > 26 THEN chr(65 + ((p_partkey - 27) // 26)::INT) || chr(65 + ((p_partkey - 27) % 26)::INT) ELSE chr(64 + p_partkey::INT) END AS letters, p_partkey::INTEGER AS again FROM part""")
 def a1_columns(spark, d):
     """Spreadsheet columns by number, as letters and back."""
     letters = X.column_letters(F.col("number"))
-    return table(spark, d, "part").select(F.col("p_size").alias("number")).distinct().withColumn("letters", letters).withColumn("again", X.column_number(F.col("letters")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("number")).distinct().withColumn("letters", letters).withColumn("again", X.column_number(F.col("letters")))
 
 
 @query("""SELECT l_returnflag AS sheet, max(l_orderkey) AS last_row, max(l_linenumber) AS last_col, chr(64 + max(l_linenumber)) AS last_letters, count(*) AS cells, round(sum(l_quantity), 4) AS total FROM lineitem GROUP BY l_returnflag""")

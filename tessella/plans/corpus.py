@@ -288,10 +288,13 @@ def ndcg(spark, d):
     return hits.groupBy("k").agg(F.round(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)), 6).alias("dcg"), F.min(F.when(hit, F.col("rank").cast("long"))).alias("first_hit"))
 
 
-@query("""SELECT d.doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(d.text, '[0-9]{4,}', 0))), ',') AS numbers FROM documents d WHERE regexp_matches(d.text, '[0-9]{4,}')""")
+@query(r"""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[0-9][0-9 \x{a0}.,]{2,}[0-9]') AS runs, regexp_replace(string_split(text, chr(10))[1], '[ \x{a0}.,]', '', 'g') AS context FROM documents),
+  f AS (SELECT doc_id, list_filter(runs, lambda r: length(regexp_replace(r, '[ \x{a0}.,]', '', 'g')) >= 4 AND NOT regexp_full_match(regexp_replace(r, '[ \x{a0}.,]', '', 'g'), '(19|20)[0-9]{2}') AND NOT contains(context, regexp_replace(r, '[ \x{a0}.,]', '', 'g')))[1:5] AS n FROM r)
+  SELECT doc_id, array_to_string(n, '|') AS numbers, len(n)::INTEGER AS flags FROM f WHERE len(n) > 0""")
 def numeric_provenance(spark, d):
-    found = F.sort_array(F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{4,}"), F.lit(0))))
-    return table(spark, d, "documents").select("doc_id", F.array_join(found, ",").alias("numbers")).filter("numbers <> ''")
+    """Numbers of every document that its first line doesn't ground: five at most, years left out."""
+    found = X.ungrounded_numbers(F.col("text"), F.get(F.split("text", "\n"), F.lit(0)))
+    return table(spark, d, "documents").select("doc_id", found.alias("n")).filter(F.size("n") > 0).select("doc_id", F.array_join("n", "|").alias("numbers"), F.size("n").alias("flags"))
 
 
 @query(f"""WITH {bm25_sql()}, g AS (SELECT source, max(score) AS top FROM b GROUP BY source), m AS (SELECT max(top) AS most FROM g) SELECT doc_id, b.source, round(score, 6) AS score FROM b JOIN (SELECT source FROM g, m WHERE top >= 0.8 * most ORDER BY top DESC, source LIMIT 2) s ON b.source = s.source""")

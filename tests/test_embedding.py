@@ -126,3 +126,21 @@ def test_ids_follow_document_place_and_text(spark):
     assert nodes[0]["content_hash"] == nodes[2]["content_hash"] and nodes[0]["node_id"].startswith("1:budget:")
     with pytest.raises(Exception, match="no room"):
         E.embedding_chunks(R.reading_units(docs, 100), budget, F.lit("a b c d")).collect()
+
+
+def test_spans_of_many_pieces():
+    """Cuts of 20,000 pieces are those of a plain walk, found without a pass over all pieces for each of them."""
+    costs, heads, room, overlap = [k % 3 for k in range(20000)], list(range(2, 20000, 5)), 80, 16
+    found = E._spans(costs, heads, room, overlap)
+    at, expected = 0, []
+    while at < len(costs):
+        end, used = at, 0
+        while end < len(costs) and used + costs[end] <= room:
+            used, end = used + costs[end], end + 1
+        end = max(end, at + 1)
+        expected.append((at, end))
+        low, used = end, 0
+        while low > 0 and used + costs[low - 1] <= overlap:
+            low, used = low - 1, used + costs[low - 1]
+        at = end if end >= len(costs) else next((h for h in heads if max(low, at + 1) <= h < end), end)
+    assert found == expected

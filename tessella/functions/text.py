@@ -156,14 +156,15 @@ def column_number(letters: Column) -> Column:
 
 
 def column_letters(number: Column) -> Column:
-    """Letters of a column's number, of any size; none below 1."""
+    """Letters of a column's number, of any size; none below 1; null for null."""
     def step(s: Column, _: Column) -> Column:
         left = s["left"] - 1
         more = F.struct(F.floor(left / 26).cast("long").alias("left"), F.concat(F.char(65 + F.pmod(left, F.lit(26))), s["out"]).alias("out"))
         return F.when(s["left"] > 0, more).otherwise(s)
 
     # fourteen letters are beyond a long
-    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(number.cast("long").alias("left"), F.lit("").alias("out")), step, lambda s: s["out"])
+    letters = F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(number.cast("long").alias("left"), F.lit("").alias("out")), step, lambda s: s["out"])
+    return F.when(number.isNotNull(), letters)
 
 
 # A run of digits with separators, and the years that aren't flagged.

@@ -119,8 +119,9 @@ def detect_kind(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(T.kind(F.concat_ws(" ", "p_name", "p_type"), KINDS), F.lit("unknown")).alias("kind"))
 
 
-@query("""SELECT DISTINCT p_partkey AS number, CASE WHEN p_partkey < 1 THEN '' WHEN p_partkey > 702 THEN chr(65 + ((p_partkey - 703) // 676)::INT) || chr(65 + ((p_partkey - 703) // 26 % 26)::INT) || chr(65 + ((p_partkey - 703) % 26)::INT)
-  WHEN p_partkey > 26 THEN chr(65 + ((p_partkey - 27) // 26)::INT) || chr(65 + ((p_partkey - 27) % 26)::INT) ELSE chr(64 + p_partkey::INT) END AS letters, p_partkey::INTEGER AS again FROM part""")
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT p_partkey AS number, p_partkey AS rest, CASE WHEN p_partkey IS NOT NULL THEN '' END AS letters FROM part
+    UNION ALL SELECT number, (rest - 1) // 26, chr(65 + ((rest - 1) % 26)::INT) || letters FROM c WHERE rest > 0)
+  SELECT number, letters, number::INTEGER AS again FROM c WHERE rest <= 0 OR rest IS NULL""")
 def a1_columns(spark, d):
     """Spreadsheet columns by number, as letters and back."""
     letters = X.column_letters(F.col("number"))

@@ -37,3 +37,14 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql():
     assert not set(registry.SQL) - set(registry.QUERIES)
+
+
+def test_columns_of_any_size_match_sql(spark, tmp_path):
+    """Columns of four letters and more, none, and null."""
+    keys = [None, 0, 1, 26, 27, 702, 703, 18278, 18279, 19999, 475254, 475255, 2000000000]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    ours, theirs = registry.QUERIES["a1_columns"](spark, str(tmp_path)).toPandas(), con.execute(registry.SQL["a1_columns"]).df()
+    assert len(ours) == len(keys)
+    assert rows(ours) == rows(theirs)

@@ -3,8 +3,10 @@
 Everything that a unit has by itself is columns: equal contents are merged, the question's terms weighed over unique contents,
 and each unit's score bounded from above, as novelty only falls and redundancy only rises while units are chosen. The choice itself
 is greedy, and lazy: a priority queue holds bounds, and only the unit on top is scored anew. A question's group is its best
-units by bound; a choice is final only while it beats the bound of the best unit left out, and questions for which one
-doesn't go into another round with more units. So no group is unbounded and the result is that of the whole candidate set.
+units by bound; a choice is final only while it beats the bound of the best unit left out. Questions for which one doesn't go
+into another round, in which every unit is bounded by its score against what was chosen so far, so a round of as many units adds
+a choice at least. Only where more units than that have equal scores is a round larger. So the result is that of the whole
+candidate set, and no task holds it.
 """
 
 from __future__ import annotations
@@ -129,11 +131,13 @@ def score(unit: Unit, new: float, same: float, whole: float) -> float:
     return (0.7 * unit.relevance + 0.3 * new - 0.3 * same) / unit.load if whole else unit.relevance
 
 
-def lazily(units: list[Unit], weights: dict[str, float], limits: Limits, beyond: float | None) -> tuple[list[tuple[int, float]], bool]:
-    """(position, score) of the units chosen, in order, and whether units whose bounds are at most `beyond` (None: there are none)
-    could change that."""
-    whole, covered, groups, chosen, out = sum(weights.values()), set(), set(), [], []
-    left, text_left = limits.max_chars, limits.text_chars if limits.text_chars is not None else limits.max_chars
+def lazily(units: list[Unit], weights: dict[str, float], limits: Limits, beyond: float | None, before: list[Unit] = ()) -> tuple[list[tuple[int, float]], bool]:
+    """(position, score) of the units chosen after those of before, in order, and whether that is all; units whose bounds are at
+    most `beyond` (None: there are none) don't change what is returned, but may be what follows."""
+    whole, chosen, out = sum(weights.values()), list(before), []
+    covered, groups = set().union(*(c.terms for c in chosen)), {c.group for c in chosen}
+    left = limits.max_chars - sum(c.cost for c in chosen)
+    text_left = (limits.text_chars if limits.text_chars is not None else limits.max_chars) - sum(c.size for c in chosen)
     # values are bounds; a unit was scored against the first `seen` of the chosen (-1: never), with `same` its redundancy
     queue = [(-u.bound - SLACK, u.position, -1, 0.0, i) for i, u in enumerate(units)]
     heapq.heapify(queue)
@@ -157,19 +161,50 @@ def lazily(units: list[Unit], weights: dict[str, float], limits: Limits, beyond:
     return out, beyond is None or len(chosen) >= limits.items
 
 
+def _unit(r: dict) -> Unit:
+    return Unit(r["position"], r["grp"], frozenset(r["terms"]), frozenset(r["matched"]), r["relevance"], r["cost"], r["size"], r["load"], bool(r["peer"]), r["bound"])
+
+
 def _round(limits: Limits, most: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for question, rows, weights in zip(frame["question_id"], frame["units"], frame["weights"], strict=True):
+            for question, rows, weights, before in zip(frame["question_id"], frame["units"], frame["weights"], frame["before"], strict=True):
                 beyond = rows[most]["bound"] if len(rows) > most else None
-                units = [Unit(r["position"], r["grp"], frozenset(r["terms"]), frozenset(r["matched"]), r["relevance"], r["cost"], r["size"], r["load"], bool(r["peer"]), r["bound"]) for r in rows[:most]]
-                found, sure = lazily(units, dict(weights), limits, beyond)
-                found = found or [(None, 0.0)]
-                yield pd.DataFrame({"question_id": question, "position": pd.array([p for p, _ in found], "Int64"), "nth": range(found[0][0] is not None, len(found) + (found[0][0] is not None)), "score": [s for _, s in found], "sure": sure})
+                chosen = [] if before is None else [_unit(r) for r in before]
+                found, sure = lazily([_unit(r) for r in rows[:most]], dict(weights), limits, beyond, chosen)
+                n = len(chosen) + 1
+                # a row without a position says how a round ended
+                yield pd.DataFrame({"question_id": question, "position": pd.array([None, *(p for p, _ in found)], "Int64"), "nth": [len(found), *range(n, n + len(found))], "score": [0.0, *(s for _, s in found)], "sure": sure})
 
     return run
 
 
+_UNIT = ("position", "grp", "terms", "matched", "relevance", "cost", "size", "load", "peer", "bound")
+
+
+def _bounded(rows: DataFrame, chosen: DataFrame, limits: Limits) -> DataFrame:
+    """rows of the questions of chosen (question_id, before) that may still be chosen, bounded by their score against before."""
+    rows = rows.join(chosen, "question_id")
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    taken = lambda name: F.transform("before", lambda c: c[name])
+    whole, groups = total(F.map_values("weights")), F.array_distinct(taken("grp"))
+    keep = ~F.array_contains(taken("position"), F.col("position")) & (F.array_contains(groups, F.col("grp")) | (F.size(groups) < limits.sources))
+    if not limits.peers:
+        used = lambda name: F.aggregate(taken(name), F.lit(0).cast("long"), lambda a, x: a + x)
+        texts = limits.text_chars if limits.text_chars is not None else limits.max_chars
+        keep = keep & (used("cost") + F.col("cost") <= limits.max_chars) & (used("size") + F.col("size") <= texts)
+    new = total(F.transform(F.array_except("matched", F.flatten(taken("terms"))), lambda t: F.element_at("weights", t))) / whole
+
+    def redundant(c: Column) -> Column:
+        ratio = lambda both: both / F.greatest(F.lit(1), F.size(c["terms"]) + F.size("terms") - both)
+        shared = F.get(F.transform(F.array(F.size(F.array_intersect(c["terms"], F.col("terms")))), ratio), F.lit(0))
+        return F.when(F.col("peer") & (c["grp"] == F.col("grp")), 1.0).otherwise(shared)
+
+    same = F.coalesce(F.array_max(F.transform("before", redundant)), F.lit(0.0))
+    score = F.when(whole > 0, (0.7 * F.col("relevance") + 0.3 * new - 0.3 * same) / F.col("load")).otherwise(F.col("relevance"))
+    return rows.filter(keep).withColumn("bound", score)
+
+
 def select_context(units: DataFrame, questions: DataFrame, limits: Limits, first: int = FIRST) -> DataFrame:
     """question_id, nth (from 1), position, source, unit_id, grp, copies, content, score of the units chosen for each question.
 
@@ -179,19 +214,29 @@ def select_context(units: DataFrame, questions: DataFrame, limits: Limits, first
     rows = weighed(merged(units)[0], questions, limits)
     rows = _peers(rows) if limits.peers else rows.withColumn("peer", F.lit(False))
     rows = cut_lineage(rows)
-    done, open_ones, most = None, None, first
+    done = chosen = None
+    most = first
     while True:
-        own = rows if open_ones is None else rows.join(open_ones, "question_id", "left_semi")
+        own = rows.withColumn("before", F.lit(None).cast(_struct(rows))) if chosen is None else _bounded(rows, chosen, limits)
         best = Window.partitionBy("question_id").orderBy(F.col("bound").desc(), "position")
-        held = own.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most + 1)
-        unit = F.struct("place", "position", "grp", "terms", "matched", "relevance", "cost", "size", "load", "peer", "bound")
-        groups = held.groupBy("question_id").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.first("weights").alias("weights"))  # most + 1 units
+        held = own.select("question_id", "weights", "before", *_UNIT).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= most + 1)
+        groups = held.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("place", *_UNIT))).alias("units"), F.first("weights").alias("weights"), F.first("before").alias("before"))  # most + 1 units
         found = cut_lineage(groups.mapInPandas(_round(limits, most), f"question_id {kind}, position long, nth int, score double, sure boolean"))
-        sure = found.filter("sure")
-        done = sure if done is None else done.unionByName(sure)
-        open_ones = found.filter("not sure").select("question_id").distinct()
-        if open_ones.isEmpty():
+        picked = found.filter("position IS NOT NULL").select("question_id", "position", "nth", "score")
+        done = picked if done is None else done.unionByName(picked)
+        ended = found.filter("position IS NULL AND NOT sure")
+        stuck = ended.agg(F.count(F.lit(1)).alias("open"), F.min("nth").alias("least")).first()
+        if not stuck["open"]:
             break
-        most *= MORE
+        most = first if stuck["least"] else most * MORE
+        units_so_far = done.join(ended.select("question_id"), "question_id", "left_semi").join(rows.select("question_id", *_UNIT), ["question_id", "position"])
+        listed = units_so_far.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("nth", *_UNIT))).alias("before"))  # at most limits.items
+        none_yet = ended.select("question_id").join(listed, "question_id", "left")
+        chosen = cut_lineage(none_yet.select("question_id", F.coalesce(F.transform("before", lambda c: F.struct(*(c[k].alias(k) for k in _UNIT))), F.array().cast(_struct(rows))).alias("before")))
     named = rows.select("question_id", "position", "source", "unit_id", "grp", "copies", "content")
-    return done.filter("nth > 0").join(named, ["question_id", "position"]).select("question_id", "nth", *named.columns[1:], F.round("score", 6).alias("score"))
+    return done.join(named, ["question_id", "position"]).select("question_id", "nth", *named.columns[1:], F.round("score", 6).alias("score"))
+
+
+def _struct(rows: DataFrame) -> str:
+    kinds = dict(rows.dtypes)
+    return "array<struct<" + ",".join(f"{k}:{kinds[k]}" for k in _UNIT) + ">>"

@@ -98,3 +98,14 @@ def test_limits(spark):
     got = S.select_context(spark.createDataFrame(one, UNITS), asked, S.Limits(9000, sources=1)).collect()
     assert {r["source"] for r in got} == {"a"} and len(got) == 3
     assert S.select_context(spark.createDataFrame([], UNITS), asked, S.Limits(9000)).count() == 0
+
+
+def test_groups_stay_small_while_bounds_are_loose(spark, monkeypatch):
+    """Units that all match the question are bounded anew after every choice; no round takes more of them."""
+    rows = [unit(k, f"pump pressure {' '.join(f'w{(k * 7 + j) % 97}' for j in range(k % 11 + 1))}", None, k % 40) for k in range(400)]
+    units, asked = spark.createDataFrame(rows, UNITS), spark.createDataFrame([("q", "pump pressure")], ASKED)
+    limits, sizes, plain = S.Limits(5000, items=6), [], S._round
+    monkeypatch.setattr(S, "_round", lambda limits, most: sizes.append(most) or plain(limits, most))
+    got, whole = ([tuple(r) for r in S.select_context(units, asked, limits, first=n).orderBy("nth").collect()] for n in (8, 512))
+    assert got == whole and len(got) == 6
+    assert set(sizes[:-1]) == {8}

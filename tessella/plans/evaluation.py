@@ -99,7 +99,7 @@ def diverse_candidates(spark, d):
 def semantic_lookup(spark, d):
     """Cached answers: among the newest 500 verified ones of a question's scope the most similar, an equal question counting as
     1 and the newest winning a tie, if it is similar enough."""
-    e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower("text").alias("question")), "vec_id")
+    e = table(spark, d, "embeddings").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.sha2(F.lower("text"), 256).alias("question")), "vec_id")  # equal questions by digest, so that pairs carry no text
     newest = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("vec_id")))
     held = e.filter("vec_id % 3 <> 0").withColumn("newest", newest).filter("newest <= 500").select("label", F.col("vec_id").alias("hit"), F.col("embedding").alias("b"), F.col("question").alias("known"))
     asked = e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")

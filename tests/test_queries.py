@@ -48,3 +48,9 @@ def test_columns_of_any_size_match_sql(spark, tmp_path):
     ours, theirs = registry.QUERIES["a1_columns"](spark, str(tmp_path)).toPandas(), con.execute(registry.SQL["a1_columns"]).df()
     assert len(ours) == len(keys)
     assert rows(ours) == rows(theirs)
+
+
+def test_cached_answers_carry_no_texts(spark):
+    """Pairs of questions are joined with digests of their texts."""
+    plan = registry.QUERIES["semantic_lookup"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan

@@ -30,9 +30,14 @@ def updated(counts: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[Da
     gone = removed.select("doc").union(added.select("doc")).distinct()
     out = counts.join(gone, "doc", "left_semi")
     after = counts.join(gone, "doc", "left_anti").unionByName(added)
-    delta = out.select("term", F.lit(-1).alias("d")).union(added.select("term", F.lit(1).alias("d")))
-    df = frequencies(counts).select("term", F.col("df").alias("d")).union(delta).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
-    return after, df
+    return after, frequencies_after(counts, out, added)
+
+
+def frequencies_after(counts: DataFrame, out: DataFrame, added: DataFrame) -> DataFrame:
+    """term, df of counts after the rows of out (some of counts') left and those of added came: signed sums, which tasks
+    make of their own rows first, so that no row of counts is shuffled."""
+    signed = [t.select("term", F.lit(d).alias("d")) for t, d in ((counts, 1), (out, -1), (added, 1))]
+    return signed[0].union(signed[1]).union(signed[2]).groupBy("term").agg(F.sum("d").alias("df")).filter("df > 0")
 
 
 def weighted_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

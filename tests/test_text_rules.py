@@ -6,12 +6,14 @@ import re
 import unicodedata
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.functions import unicode as U
 from tessella.operators import chunking, postings
+from tessella.plans import registry
 from tessella.plans.base import shared
 
 
@@ -115,3 +117,25 @@ def test_postings_are_counted_without_a_shuffle(spark):
     rows = postings.counted(docs.localCheckpoint())
     assert sorted(map(tuple, rows.collect())) == [("17.25", 3, 1, 4), ("pipe", 0, 1, 3), ("pipe", 3, 3, 4), ("red", 0, 2, 3)]
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_sorted_in_bounded_runs(spark, monkeypatch):
+    """No task sorts all of its postings: runs of RUN words are sorted, whatever the batches; counts stay the same."""
+    lists = [pa.array(x, pa.list_(pa.string())) for x in ([["b", "a", "b"], [], ["c"] * 9, ["a", "b"]], [["d", "a"], ["a"]], [])]
+    at, batches = 0, []
+    for x in lists:
+        batches.append(pa.RecordBatch.from_arrays([pa.array(range(at, at + len(x)), pa.int64()), x], names=["doc", "words"]))
+        at += len(x)
+    want = sorted((t, k, v.count(t), len(v)) for k, v in enumerate(w for x in lists for w in x.to_pylist()) for t in set(v))
+    for run in (1, 4, 5, 1 << 20):
+        monkeypatch.setattr(postings, "RUN", run)
+        runs = [list(zip(*(c.to_pylist() for c in b.columns))) for b in postings._counts(iter(batches))]
+        assert all(r == sorted(r) for r in runs) and sorted(row for r in runs for row in r) == want
+        assert all(sum(row[2] for row in r) <= max(run, 9) for r in runs)
+
+
+def test_frequencies_by_delta_shuffle_terms_only(spark, tmp_path):
+    spark.createDataFrame([(k, f"a b{k}") for k in range(1, 7)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["postings_update"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {r["term"]: r["df"] for r in found.collect()} == {"a": 5, "b1": 1, "b2": 1, "b3": 1, "b4": 1, "b6": 1}

@@ -24,17 +24,26 @@ def page_chunks(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(text, "\n\n")).alias("ord", "text")).filter("length(text) > 0")
 
 
-def _store(pages: DataFrame, path: str) -> str:
-    """Trees of pages and the postings of their chunks and titles."""
-    nodes, chunks, _ = H.read(pages.sparkSession, H.write(page_chunks(pages), f"{path}/tree"))
-    number = H.number(F.col("doc_id"), F.col("ord")).alias("doc_id")
-    postings.build(chunks.select(number, "text"), f"{path}/chunks")
-    postings.build(nodes.select(number, F.col("title").alias("text")), f"{path}/titles")
-    return path
+def _tree(pages: DataFrame, path: str) -> str:
+    return H.write(page_chunks(pages), path, in_order=True)
+
+
+def _numbered(rows: DataFrame, text: str) -> DataFrame:
+    return rows.select(H.number(F.col("doc_id"), F.col("ord")).alias("doc_id"), F.col(text).alias("text"))
 
 
 def trees(spark, d) -> str:
-    return kept(spark, d, "pages", _store)
+    """The pages' heading trees; the postings of their chunks and titles are stores of their own, built by who searches them."""
+    return kept(spark, d, "pages", _tree)
+
+
+def chunk_postings(spark, d) -> str:
+    return kept(spark, d, "pages", lambda pages, path: postings.build(_numbered(page_chunks(pages), "text"), path))
+
+
+def title_postings(spark, d) -> str:
+    tree = trees(spark, d)
+    return kept(spark, d, "pages", lambda pages, path: postings.build(_numbered(H.read(spark, tree)[0], "title"), path))
 
 
 def unnumbered(rows: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ TREE = rf"""m AS (SELECT page_id AS doc_id, {_text_sql()} AS text FROM pages),
 @query(f"""WITH RECURSIVE {TREE} SELECT doc_id AS page_id, node_id, ord, title, level, depth, parent_id, (SELECT count(*) FROM e WHERE e.doc_id = n.doc_id AND list_contains(ids, node_id)) AS chunks FROM n""")
 def heading_tree(spark, d):
     """Every heading of every page with its parent and the number of chunks under it, by the scope index."""
-    nodes, _, scopes = H.read(spark, f"{trees(spark, d)}/tree")
+    nodes, _, scopes = H.read(spark, trees(spark, d))
     under = scopes.groupBy(F.col("ancestor").alias("node_id")).agg(F.count(F.lit(1)).alias("chunks"))
     return nodes.join(under, "node_id").select(F.col("doc_id").alias("page_id"), "node_id", "ord", "title", "level", "depth", "parent_id", "chunks")
 
@@ -85,7 +94,7 @@ def heading_tree(spark, d):
   coalesce(title, list_filter(list_transform(regexp_split_to_array(text, '{_ENDS}'), lambda v: regexp_replace(v, '^[ #\t]+|[ #\t]+$', '', 'g')), lambda v: length(v) BETWEEN 4 AND 160)[1], '') AS heading, coalesce(opened < ord, false) AS inherited, ids[-1] AS scope, len(ids)::INTEGER AS depth FROM e""")
 def chunk_scopes(spark, d):
     """Every chunk's heading, own or inherited, and the innermost node over it."""
-    rows = H.read(spark, f"{trees(spark, d)}/tree")[1]
+    rows = H.read(spark, trees(spark, d))[1]
     return rows.select(F.col("doc_id").alias("page_id"), "ord", "node_id", "level", "heading", "inherited", F.try_element_at("ancestors", F.lit(-1)).alias("scope"), F.size("ancestors").alias("depth"))
 
 
@@ -107,9 +116,9 @@ _SCOPE = "level = 2 AND contains(lower(title), 'and')"
 def bm25_scoped(spark, d):
     """The best chunks under headings of level 2 that hold a word: terms weigh as in all chunks."""
     path = trees(spark, d)
-    nodes = H.read(spark, f"{path}/tree")[0].filter(F.expr(_SCOPE))
-    scope = H.below(spark, f"{path}/tree", nodes).select(H.number(F.col("doc_id"), F.col("ord")).alias("doc"))
-    best = postings.scores(spark, f"{path}/chunks", TERMS, scope).withColumn("score", F.round("score", 6))
+    nodes = H.read(spark, path)[0].filter(F.expr(_SCOPE))
+    scope = H.below(spark, path, nodes).select(H.number(F.col("doc_id"), F.col("ord")).alias("doc"))
+    best = postings.scores(spark, chunk_postings(spark, d), TERMS, scope).withColumn("score", F.round("score", 6))
     return unnumbered(best.orderBy(F.desc("score"), "doc").limit(20))
 
 
@@ -119,11 +128,11 @@ def bm25_scoped(spark, d):
 def hierarchical_search(spark, d):
     """Eight chunks found themselves, and as a pool of its own eight found under the four best headings."""
     path = trees(spark, d)
-    own = unnumbered(postings.search(spark, f"{path}/chunks", TERMS, 8)).withColumn("leg", F.lit("evidence"))
-    titles = postings.search(spark, f"{path}/titles", TERMS, max(4, min(8 // 2, 16)))
-    nodes = H.read(spark, f"{path}/tree")[0].withColumn("doc", H.number(F.col("doc_id"), F.col("ord"))).join(F.broadcast(titles), "doc", "left_semi")  # four titles
-    scope = H.below(spark, f"{path}/tree", nodes).select(H.number(F.col("doc_id"), F.col("ord")).alias("doc"))
-    return own.union(unnumbered(postings.search(spark, f"{path}/chunks", TERMS, 8, scope)).withColumn("leg", F.lit("descendant")))
+    own = unnumbered(postings.search(spark, chunk_postings(spark, d), TERMS, 8)).withColumn("leg", F.lit("evidence"))
+    titles = postings.search(spark, title_postings(spark, d), TERMS, max(4, min(8 // 2, 16)))
+    nodes = H.read(spark, path)[0].withColumn("doc", H.number(F.col("doc_id"), F.col("ord"))).join(F.broadcast(titles), "doc", "left_semi")  # four titles
+    scope = H.below(spark, path, nodes).select(H.number(F.col("doc_id"), F.col("ord")).alias("doc"))
+    return own.union(unnumbered(postings.search(spark, chunk_postings(spark, d), TERMS, 8, scope)).withColumn("leg", F.lit("descendant")))
 
 
 @query(f"""WITH RECURSIVE {TREE}, a AS (SELECT doc_id, ord, row_number() OVER (ORDER BY score DESC, doc_id, ord) AS route FROM {_scores_sql(_TITLES)} QUALIFY route <= 8),
@@ -132,8 +141,8 @@ def hierarchical_search(spark, d):
 def summary_routes(spark, d):
     """Leaves under the eight best headings in order: a leaf's first route wins, 32 leaves are read."""
     path = trees(spark, d)
-    titles = postings.search(spark, f"{path}/titles", TERMS, 8).withColumn("route", F.row_number().over(Window.orderBy(F.desc("score"), "doc"))).select("doc", "route")
-    nodes = H.read(spark, f"{path}/tree")[0].withColumn("doc", H.number(F.col("doc_id"), F.col("ord"))).join(F.broadcast(titles), "doc").select("node_id", "route")  # eight titles
-    leaves = H.below(spark, f"{path}/tree", nodes).join(F.broadcast(nodes.withColumnRenamed("node_id", "ancestor")), "ancestor")
+    titles = postings.search(spark, title_postings(spark, d), TERMS, 8).withColumn("route", F.row_number().over(Window.orderBy(F.desc("score"), "doc"))).select("doc", "route")
+    nodes = H.read(spark, path)[0].withColumn("doc", H.number(F.col("doc_id"), F.col("ord"))).join(F.broadcast(titles), "doc").select("node_id", "route")  # eight titles
+    leaves = H.below(spark, path, nodes).join(F.broadcast(nodes.withColumnRenamed("node_id", "ancestor")), "ancestor")
     first = leaves.groupBy("doc_id", "ord").agg(F.min("route").alias("route")).orderBy("route", "doc_id", "ord").limit(32)
     return first.select(F.col("doc_id").alias("page_id"), "ord", "route", F.round(1.0 / (60 + F.col("route")), 6).alias("score"))

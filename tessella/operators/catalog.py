@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df from the shared checkpoint folder; a temporary one is used only where a local session names none."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one only where a local session names none."""
     if not spark.sparkContext.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df from the shared checkpoint folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in columns below the shared checkpoint folder, for rows that are many and read often; it goes by discard(), or
+    when the session ends."""
+    spark = df.sparkSession
+    jvm, path = spark.sparkContext._jvm, f"{_folder(spark)}/{uuid.uuid4().hex}"
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written() table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(df._written)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def watched(state: DataFrame, seen: DataFrame, complete: bool) -> DataFrame:
     """The watch list after a scan: state (id, size, mtime, missing) and seen (id, size, mtime) give id, size, mtime, changed,
     missing. A file is changed when it is new, its size differs or its time by a second or more. Only a complete scan makes

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import fusion, reading as R, selection as S
+from tessella.operators.catalog import cut_lineage
 from tessella.plans.base import query, table
 from tessella.plans.context import _TOPIC, _points, _topic_pattern
 from tessella.plans.corpus import CHANNELS, CHUNKS, TERMS, TOK, bm25_sql, channels, chunks, scored
@@ -99,11 +100,12 @@ def selected_context(spark, d):
     most, within two budgets. The two hundred documents that the terms find best lend their lines a prior."""
     by = Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id")
     found = scored(spark, d, TERMS).withColumn("rank", F.row_number().over(by) - 1).filter("rank < 200").select("doc_id", "rank")
+    found = F.broadcast(cut_lineage(found))  # two hundred documents a language
     lines = chunks(spark, d).filter("lang IS NOT NULL").join(found, "doc_id", "left")
     units = lines.select(
         F.col("lang").alias("question_id"), (F.col("doc_id") * (1 << 24) + F.col("ord")).alias("position"), F.col("doc_id").cast("string").alias("source"), F.col("ord").cast("string").alias("unit_id"),
         F.lit(None).cast("string").alias("grp"), F.lit(None).cast("string").alias("heading"), F.col("chunk").alias("text"), F.when((F.col("ord") == 0) & (F.col("rank") < 10), F.col("rank")).alias("rank"), F.col("rank").alias("source_rank"),
     )
-    questions = units.select("question_id").distinct().withColumn("question", F.lit(_QUESTION))
+    questions = table(spark, d, "documents").select(F.col("lang").alias("question_id")).filter("question_id IS NOT NULL").distinct().withColumn("question", F.lit(_QUESTION))
     picked = S.select_context(units, questions, _LIMITS)
     return picked.select(F.col("question_id").alias("lang"), "nth", F.col("source").cast("long").alias("doc_id"), F.col("unit_id").cast("int").alias("ord"), "copies", "score")

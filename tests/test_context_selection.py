@@ -2,6 +2,8 @@
 
 import math
 import random
+import tempfile
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,3 +111,32 @@ def test_groups_stay_small_while_bounds_are_loose(spark, monkeypatch):
     got, whole = ([tuple(r) for r in S.select_context(units, asked, limits, first=n).orderBy("nth").collect()] for n in (8, 512))
     assert got == whole and len(got) == 6
     assert set(sizes[:-1]) == {8}
+
+
+def test_equal_scores_do_not_make_a_group_larger(spark, monkeypatch):
+    """More units of one score than a group holds: the first by position is chosen, and rounds stay as small."""
+    rows = [unit(k, f"pump pressure x{k * 37 % 100 + 100}", None, 3) for k in range(100)]
+    units, asked = spark.createDataFrame(rows, UNITS).repartition(3), spark.createDataFrame([("q", "pump pressure")], ASKED)
+    limits, sizes, plain = S.Limits(5000, items=3), [], S._round
+    monkeypatch.setattr(S, "_round", lambda limits, most: sizes.append(most) or plain(limits, most))
+    got = [r["position"] for r in S.select_context(units, asked, limits, first=8).orderBy("nth").collect()]
+    assert got == [0, 1, 2] and set(sizes) == {8}
+
+
+def test_texts_are_not_written(spark, monkeypatch):
+    """What selection writes doesn't grow with the units' texts."""
+    r = random.Random(3)
+    rows = [unit(k, "pump " + " ".join("%08x" % r.getrandbits(32) for _ in range(600)), None, k % 40) for k in range(200)]
+    units, asked = spark.createDataFrame(rows, UNITS), spark.createDataFrame([("q", "pump pressure")], ASKED)
+    monkeypatch.setattr(S, "discard", lambda df: None, raising=False)
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    assert S.select_context(units, asked, S.Limits(10**5, items=4)).count() == 4
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()) < sum(len(row[6]) for row in rows) // 2
+
+
+def test_repeated_units_are_found_by_hash(spark):
+    rows = [unit(k, f"pump w{k}", k, source="a", q=f"q{k % 2}") for k in range(6)] + [unit(9, "pump again", 0, source="a")]
+    rows = [(*row[:3], "u", *row[4:]) if k in (0, 2) else row for k, row in enumerate(rows)]
+    units = S.merged(spark.createDataFrame(rows, UNITS))[0]
+    assert sorted((r["question_id"], r["position"]) for r in units.collect()) == [("q", 9), ("q0", 0), ("q0", 4), ("q1", 1), ("q1", 3), ("q1", 5)]
